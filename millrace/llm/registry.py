@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .substring_dedup import op3_substring_dedup
+from .suffix_dedup import op5_suffix_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_substring_dedup,)}
+    return {f.__name__: f for f in (op3_substring_dedup, op5_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -47,3 +47,20 @@ def substring(rows, width=20):
                 gone[i] |= set(range(s, s + width))
             seen.add(w)
     return {(i, len(words[i]), len(gone[i]), sha(" ".join(x for k, x in enumerate(words[i]) if k not in gone[i]).encode())) for i, _ in rows}
+
+
+def suffix(rows, width):
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    count = {}
+    for _, b in raw:
+        for s in range(len(b) - width + 1):
+            count[b[s : s + width]] = count.get(b[s : s + width], 0) + 1
+    out = set()
+    for i, b in raw:
+        gone = set()
+        for s in range(len(b) - width + 1):
+            if count[b[s : s + width]] > 1:
+                gone |= set(range(s, s + width))
+        spans = sum(k - 1 not in gone for k in gone)
+        out.add((i, len(b), len(gone), spans, sha(bytes(x for k, x in enumerate(b) if k not in gone))))
+    return out
