@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from .simhash_dedup import op6_simhash_dedup
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op5_suffix_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_substring_dedup, op5_suffix_dedup)}
+    return {f.__name__: f for f in (op3_substring_dedup, op5_suffix_dedup, op6_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -64,3 +64,28 @@ def suffix(rows, width):
         spans = sum(k - 1 not in gone for k in gone)
         out.add((i, len(b), len(gone), spans, sha(bytes(x for k, x in enumerate(b) if k not in gone))))
     return out
+
+
+def simhash(rows, shingle=3, distance=3):
+    import xxhash
+
+    prints = []
+    for i, t in rows:
+        w = re.findall(SPACE, "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        grams = [" ".join(w[k : k + shingle]) for k in range(len(w) - shingle + 1)] if len(w) >= shingle else [" ".join(w)] if w else []
+        h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        prints.append((i, sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0))
+    return prints, reach([i for i, _ in prints], [(a[0], b[0]) for k, a in enumerate(prints) for b in prints[:k] if bin(a[1] ^ b[1]).count("1") <= distance])
+
+
+def reach(nodes, edges):
+    """The smallest node that each reaches."""
+    low = {n: n for n in nodes}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            m = min(low[a], low[b])
+            moved |= low[a] != m or low[b] != m
+            low[a] = low[b] = m
+    return low
