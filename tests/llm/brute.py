@@ -89,3 +89,27 @@ def reach(nodes, edges):
             moved |= low[a] != m or low[b] != m
             low[a] = low[b] = m
     return low
+
+
+def contamination(rows, items, width=13):
+    def words(t):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+    windows = {}
+    for i, t in items:
+        w = words(t)
+        n = min(width, len(w))
+        for s in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[s : s + n]), set()).add(str(i))
+    out = set()
+    for i, t in rows:
+        w = words(t)
+        hit, found = set(), set()
+        for n in {len(x) for x in windows}:
+            for s in range(len(w) - n + 1):
+                if (got := windows.get(tuple(w[s : s + n]))) is not None:
+                    hit |= set(range(s, s + n))
+                    found |= got
+        out.add((i, len(w), len(hit), len(found), sha(",".join(sorted(found)).encode()), bool(hit) and 20 * len(hit) >= len(w)))
+    return out
