@@ -156,10 +156,20 @@ def replies(chunk: np.ndarray, keys: np.ndarray, kind: int) -> pa.Table:
 
 
 def is_in(values: np.ndarray, pool: np.ndarray) -> np.ndarray:
-    if not len(pool):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(pool, values), len(pool) - 1)
-    return pool[at] == values
+    """Which values are in the sorted pool; a bitmap of leading bits spares most searches."""
+    out = np.zeros(len(values), bool)
+    if not len(pool) or not len(values):
+        return out
+    if len(values) < 50_000:
+        at = np.minimum(np.searchsorted(pool, values), len(pool) - 1)
+        return pool[at] == values
+    bits = U(64 - 23)
+    table = np.zeros(1 << 23, bool)
+    table[pool >> bits] = True
+    maybe = np.flatnonzero(table[values >> bits])
+    at = np.minimum(np.searchsorted(pool, values[maybe]), len(pool) - 1)
+    out[maybe] = pool[at] == values[maybe]
+    return out
 
 
 def pool_of(table: pa.Table, kind: int) -> np.ndarray:

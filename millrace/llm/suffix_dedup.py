@@ -40,6 +40,8 @@ from .textbytes import U, buffer_of, byte_codes, inside, mix, split_by
 
 WIDTH, GRAM, HOT = 200, 100, 48
 CHUNK_BYTES = 4 << 20
+#: Bytes of suffixes that enter an index family at once.
+BATCH = 1 << 20
 SEND = "part int, chunk int, kind int, keys binary, sizes binary, bytes binary"
 REPLY = "chunk int, kind int, keys binary"
 
@@ -71,20 +73,26 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class IndexFamily:
-    """Levels of sorted suffixes; add() marks what a new batch shares with any earlier one."""
+    """Levels of sorted suffixes; add() marks what a new batch shares with itself or any earlier one."""
 
     def __init__(self, total: int):
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         self.shared = np.zeros(total, bool)
 
-    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
-        """keys: the sorted, distinct fingerprints of a batch; numbers: where their marks are."""
+    def add(self, keys: np.ndarray, number: int) -> None:
+        """keys: the fingerprints of a batch's suffixes; their marks begin at number."""
+        order = np.argsort(keys)
+        keys, numbers = keys[order], order + number
+        same = keys[1:] == keys[:-1]
+        self.shared[numbers[1:][same]] = True
+        self.shared[numbers[:-1][same]] = True
+        first = np.concatenate([[True], ~same])[: len(keys)]
+        level = (keys[first], numbers[first])
         for old, theirs in self.levels:
-            here = is_in(keys, old)
-            if here.any():
-                self.shared[numbers[here]] = True
-                self.shared[theirs[is_in(old, keys[here])]] = True
-        level = (keys, numbers)
+            at = np.minimum(np.searchsorted(old, level[0]), len(old) - 1)
+            here = old[at] == level[0]
+            self.shared[level[1][here]] = True
+            self.shared[theirs[at[here]]] = True  # if the level has it again, both have been marked before
         while self.levels and len(self.levels[-1][0]) < 2 * len(level[0]):
             old = self.levels.pop()
             merged = np.concatenate([old[0], level[0]])
@@ -105,17 +113,18 @@ class Windows:
             self.hash = large[self.at]
         else:
             small = prints(self.buf, [gram])[0]
-        self.key = sliding_min(small, width - gram + 1)[self.at]
+        key = sliding_min(small, width - gram + 1)[self.at]
+        new = np.ones(len(key), bool)
+        new[1:] = (np.diff(self.at) != 1) | (key[1:] != key[:-1])
+        #: Runs of neighbouring windows of one key: their first windows, lengths and keys.
+        self.head = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.head, len(key)))
+        self.key = key[self.head]
 
-    def runs(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first, last) index of the runs of neighbouring windows in mask of one key."""
-        i = np.flatnonzero(mask)
-        if not len(i):
-            return i, i
-        new = np.ones(len(i), bool)
-        new[1:] = (np.diff(self.at[i]) != 1) | (self.key[i[1:]] != self.key[i[:-1]])
-        head = np.flatnonzero(new)
-        return i[head], i[np.append(head[1:], len(i)) - 1]
+    def runs(self, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last windows and keys of the runs whose key is in the pool."""
+        i = np.flatnonzero(is_in(self.key, pool))
+        return self.head[i], self.head[i] + self.size[i] - 1, self.key[i]
 
 
 def rows_of(rows) -> pa.Table:
@@ -147,14 +156,14 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int
     def send_suffixes(key, table, reply):
         w = Windows(table, width, gram)
         out = []
-        loose = np.unique(w.hash[is_in(w.key, pool_of(reply, 2))])
+        loose = np.unique(w.hash[np.repeat(is_in(w.key, pool_of(reply, 2)), w.size)])
         if len(loose):
             out += [(p, chunk_of(key), 1, loose[x].tobytes(), b"", b"") for p, x in split_by(loose, chunks)]
-        a, b = w.runs(is_in(w.key, pool_of(reply, 0)))
+        a, b, keys = w.runs(pool_of(reply, 0))
         if len(a):
             raw = w.buf.tobytes()
             parts: dict[int, dict] = {}
-            part = ((w.key[a] >> U(32)) % U(chunks)).astype(int)
+            part = ((keys >> U(32)) % U(chunks)).astype(int)
             for i, (p, s, e) in enumerate(zip(part.tolist(), w.at[a].tolist(), (w.at[b] + width).tolist())):
                 parts.setdefault(p, {}).setdefault(raw[s:e], i)
             for p, found in parts.items():
@@ -162,41 +171,44 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int
         return rows_of(out)
 
     def scan(key, table):
-        """Both kinds of suffixes of a part, chunk after chunk, through a family each."""
+        """Both kinds of suffixes of a part, through a family each; a batch is as many chunks as have BATCH bytes."""
         out = []
-        table = table.sort_by("chunk")
         kind = table["kind"].to_numpy()
         for k in (0, 1):
             rows = table.filter(pa.array(kind == k)).to_pylist()
-            batches = []
-            for r in rows:
+            size = np.array([len(r["bytes"]) + len(r["keys"]) for r in rows], np.int64)
+            batch = (np.cumsum(size) - size) // BATCH
+            batches = [rows[i:j] for i, j in zip(*(np.searchsorted(batch, np.unique(batch), side) for side in ("left", "right")))]
+            family = IndexFamily(int(size.sum()))
+            base, held = 0, []
+            for some in batches:
                 if k:
-                    batches.append((np.frombuffer(r["keys"], U), None, None))
-                    continue
-                sizes = np.frombuffer(r["sizes"], np.int64)
-                buf, off = np.frombuffer(r["bytes"], np.uint8), np.concatenate([[0], np.cumsum(sizes)])
-                at = np.flatnonzero(inside(off, width, len(buf)))
-                batches.append((prints(buf, [width])[0][at], at, (off, np.frombuffer(r["keys"], np.int64))))
-            base = np.concatenate([[0], np.cumsum([len(b[0]) for b in batches])]).astype(np.int64)
-            family = IndexFamily(int(base[-1]))
-            for (h, _, _), n in zip(batches, base.tolist()):
-                one, first = np.unique(h, return_index=True)
-                family.add(one, first + n)
-            for r, (h, at, place), n in zip(rows, batches, base.tolist()):
-                hit = family.shared[n : n + len(h)]
-                if not hit.any():
+                    h = np.concatenate([np.frombuffer(r["keys"], U) for r in some])
+                    held.append((base, len(h), None))
+                else:
+                    off = np.concatenate([[0], np.cumsum(np.concatenate([np.frombuffer(r["sizes"], np.int64) for r in some]))])
+                    buf = np.frombuffer(b"".join(r["bytes"] for r in some), np.uint8)
+                    at = np.flatnonzero(inside(off, width, len(buf)))
+                    h = prints(buf, [width])[0][at]
+                    held.append((base, len(h), (off, at)))
+                family.add(h, base)
+                base += len(h)
+            for some, (n, size, place) in zip(batches, held):
+                i = np.flatnonzero(family.shared[n : n + size])
+                if not len(i):
                     continue
                 if k:
-                    out.append((r["chunk"], 3, h[hit].tobytes()))
-                else:  # a suffix that the batch has twice is marked once: the chunk finds the other itself
-                    off, run = place
-                    i = np.flatnonzero(hit)
-                    of = np.searchsorted(off, at[i], side="right") - 1
-                    new = np.ones(len(i), bool)
-                    new[1:] = (np.diff(at[i]) != 1) | (of[1:] != of[:-1])
-                    head = np.flatnonzero(new)
-                    size = np.diff(np.append(head, len(i)))
-                    out.append((r["chunk"], 1, np.stack([run[of[head]], at[i[head]] - off[of[head]], size]).T.astype(np.int64).tobytes()))
+                    keys, chunk = np.concatenate([np.frombuffer(r["keys"], U) for r in some]), np.repeat([r["chunk"] for r in some], [len(r["keys"]) // 8 for r in some])
+                    out += [(int(c), 3, keys[i[chunk[i] == c]].tobytes()) for c in np.unique(chunk[i])]
+                    continue
+                off, at = place
+                of = np.searchsorted(off, at[i], side="right") - 1
+                new = np.ones(len(i), bool)
+                new[1:] = (np.diff(at[i]) != 1) | (of[1:] != of[:-1])
+                head = np.flatnonzero(new)
+                found = np.stack([np.concatenate([np.frombuffer(r["keys"], np.int64) for r in some])[of[head]], at[i[head]] - off[of[head]], np.diff(np.append(head, len(i)))]).T
+                chunk = np.repeat([r["chunk"] for r in some], [len(r["sizes"]) // 8 for r in some])[of[head]]
+                out += [(int(c), 1, found[chunk == c].astype(np.int64).tobytes()) for c in np.unique(chunk)]
         cols = list(zip(*out)) if out else [[]] * 3
         return pa.table({"chunk": pa.array(list(cols[0]), pa.int32()), "kind": pa.array(list(cols[1]), pa.int32()), "keys": pa.array(list(cols[2]), pa.binary())})
 
@@ -205,7 +217,7 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int
         order = np.sort(w.hash)
         hit = is_in(w.hash, np.unique(order[1:][order[1:] == order[:-1]]))
         hit |= is_in(w.hash, pool_of(reply, 3))
-        a, _ = w.runs(is_in(w.key, pool_of(reply, 0)))
+        a, _, _ = w.runs(pool_of(reply, 0))
         edge = np.zeros(len(w.at) + 1, np.int64)
         for k, blob in zip(reply["kind"].to_pylist(), reply["keys"].to_pylist()):
             if k == 1:

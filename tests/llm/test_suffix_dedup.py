@@ -24,10 +24,11 @@ def test_periods(spark):
 def test_family_marks_what_batches_share():
     rnd = np.random.default_rng(1)
     batches = [np.unique(rnd.integers(0, 400, 50).astype(np.uint64)) for _ in range(20)]
+    batches[3] = np.repeat(batches[3], 2)
     base = np.cumsum([0, *map(len, batches)])
     family = IndexFamily(int(base[-1]))
     for b, n in zip(batches, base.tolist()):
-        family.add(b, np.arange(len(b)) + n)
+        family.add(b, n)
     everything = np.concatenate(batches)
     values, counts = np.unique(everything, return_counts=True)
     assert (family.shared == np.isin(everything, values[counts > 1])).all()
