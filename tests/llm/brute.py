@@ -113,3 +113,23 @@ def contamination(rows, items, width=13):
                     found |= got
         out.add((i, len(w), len(hit), len(found), sha(",".join(sorted(found)).encode()), bool(hit) and 20 * len(hit) >= len(w)))
     return out
+
+
+PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def pii(text):
+    def ok(kind, s):
+        d = re.sub("[^0-9]", "", s)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in s.split("."))
+        if kind == "card":
+            return 14 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+        return kind != "phone" or 10 <= len(d) <= 15
+
+    return sorted((m.start(), list(PII).index(k), m.end()) for k, p in PII.items() for m in re.finditer(p, text or "") if ok(k, m[0]))
