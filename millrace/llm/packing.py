@@ -1,7 +1,7 @@
 """Operator 4, packing along a space-filling curve.
 
 1. Documents become token ids.  White space separates tokens, so ids are looked up by
-   white-space-free piece of text, and only new pieces go to the tokenizer.  The ids are
+   white-space-free piece of text, and only new pieces are encoded (see Known).  The ids are
    hashed to a vector of three coordinates a document (the mean of its ids' fixed random
    vectors).  Ids and coordinates are written once, compressed, to the shared folder.
 2. Coordinates are centred and scaled by the whole table's means and deviations, cut into
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from .textbytes import U, mix
 
 SIZE, END, BITS, AXES, VOCABULARY = 4096, 2, 10, 3, 49_408
 #: Pieces of text whose ids a worker keeps.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 400_000
 
 
 def tokenizer_path() -> str:
@@ -40,25 +41,83 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Pieces of text (between white space) of these characters are cut and looked up here; all others go to the tokenizer.
+PLAIN = r"[\x21-\x7e\xa1-\u012f\u0131-\u024f]+"  # without the one letter whose lower case is two
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class Known(dict):
+    """Packed 16-bit ids by white-space-free piece of text; unknown pieces are encoded and kept.
+
+    The tokenizer's vocabulary numbers bytes first (with the end-of-word mark as a byte of its own, FF, which
+    UTF-8 lacks), then merges in their order, and merges each of its tokens from bytes to itself.  Then merging the
+    neighbours whose union is the first token of the vocabulary gives what its list of merges gives.
+    """
+
+    def __init__(self, path: str, kept: int):
+        import json
+
+        import regex
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        super().__init__({"": b""})
+        self.kept, self.tokenizer = kept, Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in printable]
+        byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+        special, end = {x["content"] for x in spec["added_tokens"]}, spec["model"]["end_of_word_suffix"]
+        ranks = {}
+        for token, number in spec["model"]["vocab"].items():
+            if token not in special:
+                closed = token.endswith(end) and token != end
+                ranks[bytes(byte[c] for c in (token[: -len(end)] if closed else token)) + b"\xff" * closed] = number
+        self.merge = tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.cut = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")).findall
+        self.plain = regex.compile(PLAIN).fullmatch
+
+    def pack(self, ids) -> bytes:
+        return array("H", ids).tobytes()
+
+    def one(self, piece: str) -> bytes:
+        return self.pack(self.merge(piece.lower().encode() + b"\xff"))
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > self.kept:
+            self.clear()
+            self[""] = b""
+        core = piece.rstrip(SIGNS)
+        if not self.plain(piece) or "<|" in piece:
+            out = self.pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        elif core.isalpha():
+            out = self.one(piece) if len(core) == len(piece) else self[core] + self.one(piece[len(core) :])
+        else:
+            out = b"".join(self.one(x) for x in self.cut(piece.lower()))
+        self[piece] = out
+        return out
+
+
 class Encoder:
     """Ids of texts as packed 16-bit numbers."""
 
     def __init__(self, path: str, kept: int = KEPT_PIECES):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.kept, self.known = Tokenizer.from_file(path), kept, {"": b""}
+        self.known = Known(path, kept)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = list({p for x in pieces for p in x} - self.known.keys())
-        if len(self.known) + len(new) > self.kept:
-            self.known = {"": b""}
-            new = list({p for x in pieces for p in x} - self.known.keys())
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, np.uint16).tobytes()
-        return [b"".join(map(self.known.__getitem__, x)) for x in pieces]
+        known = self.known.__getitem__
+        return [b"".join(map(known, t.replace("\n", " ").replace("\t", " ").split(" "))) for t in texts]
+
+    @staticmethod
+    def of_worker(path: str) -> "Encoder":
+        """One encoder for all tasks of a Python worker."""
+        import public_tokenizers
+
+        held = public_tokenizers.__dict__.setdefault("encoders_of_this_worker", {})
+        if path not in held:
+            held[path] = Encoder(path)
+        return held[path]
 
 
 def token_vectors(n: int = VOCABULARY, axes: int = AXES) -> np.ndarray:
@@ -100,7 +159,7 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
     names = ["doc_id", "n", "ids", *(f"x{i}" for i in range(AXES))]
 
     def each(batches):
-        encoder, vectors, end = Encoder(where), token_vectors(), np.array([END], np.uint16).tobytes()
+        encoder, vectors, end = Encoder.of_worker(where), token_vectors(), np.array([END], np.uint16).tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)

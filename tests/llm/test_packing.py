@@ -1,3 +1,5 @@
+import json
+import random
 import zlib
 from collections import defaultdict
 from itertools import product
@@ -5,7 +7,7 @@ from itertools import product
 import brute
 import numpy as np
 
-from millrace.llm.packing import SIZE, Encoder, hilbert, packing, tokenizer_path
+from millrace.llm.packing import SIZE, Encoder, Known, hilbert, packing, tokenizer_path
 
 
 def check(rows, got, size):
@@ -45,6 +47,37 @@ def test_every_id_once(spark):
     check(rows, packing(brute.docs(spark, rows), with_ids=True).collect(), SIZE)
 
 
+def test_pieces_have_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    tokenizer, known, rnd = Tokenizer.from_file(tokenizer_path()), Known(tokenizer_path(), 50_000), random.Random(4)
+    letters = "etaoinshrdlucmfwypvbgkjqxzETAÉéüñßçœŁ"
+    pieces = ["".join(rnd.choices(letters, k=rnd.randint(1, 18))) for _ in range(3000)]
+    pieces += ["".join(rnd.choices(letters + "0123'.,-!?<|>@€–Ωж中²ªİΣς\u0301\u200d\xad\x7f\x85\xa0\x1c" + "'s't", k=rnd.randint(1, 12))) for _ in range(5000)]
+    pieces += ["'s", "it's", "WE'LL", "<|endoftext|>", "a<|endoftext|>b", "a.b@c-d.e", "+1", "***", "x***", "''", "x'", "\U0001f600"]
+    pieces = [p for p in pieces if not set(p) & set(" \n\t")]
+    assert [known[p] for p in pieces] == [np.array(e.ids, np.uint16).tobytes() for e in tokenizer.encode_batch(pieces, add_special_tokens=False)]
+
+
+def test_each_token_merges_to_itself():
+    """What Known's merging by the vocabulary's order rests on."""
+    spec = json.load(open(tokenizer_path(), encoding="utf-8"))
+    merges = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(spec["model"]["merges"])}
+    vocabulary, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+    assert all(vocabulary["".join(m)] == 512 + i for m, i in merges.items())
+    for token in list(vocabulary)[512:]:
+        if token.startswith("<|"):
+            continue
+        x = list(token[: -len(end)] if token.endswith(end) else token)
+        if token.endswith(end):
+            x[-1] += end
+        while len(x) > 1:
+            i = min(range(len(x) - 1), key=lambda k: merges.get((x[k], x[k + 1]), 1 << 30))
+            assert (x[i], x[i + 1]) in merges, token
+            x[i : i + 2] = [x[i] + x[i + 1]]
+        assert x == [token]
+
+
 def test_encoder_forgets_but_agrees():
     texts = [t or "" for _, t in brute.prose(3)]
     small, large = Encoder(tokenizer_path(), kept=20), Encoder(tokenizer_path())
