@@ -1,2 +1,70 @@
+"""A corpus pipeline: five stages over documents, each by an operator of the llm subpackage.
+
+Stages take (spark, docs, sf_dir).  All but the last return the columns of documents; between
+stages the rows are written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm.common import ensure_checkpoints, read
+from millrace.llm.decontamination import decontamination
+from millrace.llm.packing import packing
+from millrace.llm.pii import find_pii, redacted
+from millrace.llm.quality import quality_classifier
+from millrace.llm.simhash_dedup import simhash_dedup
+
+#: SQL has neither the classifier, the fingerprints nor the tokenizer.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose probability of the best grade is at least one half."""
+    judged = quality_classifier(docs, read(spark, sf_dir, "labels"), columns=[*docs.columns])
+    return judged.where("kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest doc_id of each group of near copies (of rows that repeat it, one)."""
+    kept = simhash_dedup(docs).where("doc_id = component_id").select("doc_id").distinct()
+    rest = docs.where("doc_id is null")
+    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("r"))
+    return one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns]).union(rest)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which one word in 20 or more lies in a benchmark passage."""
+    judged = decontamination(docs, read(spark, sf_dir, "benchmark"), columns=[*docs.columns])
+    return judged.where("not contaminated").select(*docs.columns)
+
+
+def hide_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts [KIND] in place of personal data and secrets, and counts characters again."""
+    found = find_pii(docs, columns=[*docs.columns])
+    hidden = found.withColumn("text", redacted(F.col("text"), F.col("pii")))
+    if "n_chars" in docs.columns:
+        hidden = hidden.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return hidden.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 ids."""
+    return packing(docs)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pii", hide_pii), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each returns is written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        ensure_checkpoints(spark)
+        folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)

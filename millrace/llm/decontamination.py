@@ -35,8 +35,8 @@ from .textbytes import U, alnum_split, buffer_of, lower_table, words_of
 
 WIDTH, BLOCK, SHARE, PATTERN_BYTES, STRETCH = 13, 2, 20, 16 << 20, 256
 TEXT_AT_ONCE = 4 << 20
-BETWEEN = "doc_id long, text string, mask binary, items array<string>"
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+BETWEEN = "text string, mask binary, items array<string>"
+RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def words_in(text: bytes) -> list[bytes]:
@@ -160,12 +160,11 @@ class Benchmark:
         return first, np.cumsum(hit)[:-1] > 0, pairs
 
 
-def verdict(ids, n_words, n_hit, items: list[list[str]], share: int) -> list:
+def verdict(n_words, n_hit, items: list[list[str]], share: int) -> list:
     n_words, n_hit = np.asarray(n_words), np.asarray(n_hit)
     sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
     bad = (n_hit > 0) & (share * n_hit >= n_words)
-    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-    return [ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array(bad, pa.bool_())]
+    return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array(bad, pa.bool_())]
 
 
 def pattern_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
@@ -182,45 +181,50 @@ def pattern_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: i
     yield block
 
 
-def decontamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE, item_id: str = "item_id", block_bytes: int = PATTERN_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def decontamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE, item_id: str = "item_id", block_bytes: int = PATTERN_BYTES, columns: list[str] | None = None) -> DataFrame:
+    """The given columns (doc_id), then n_words, n_hit, n_items, items_sha256, contaminated."""
     blocks = pattern_blocks(benchmark, item_id, "text", block_bytes)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(b"").alias("mask"), F.lit(None).cast("array<string>").alias("items"))
+    columns = columns or ["doc_id"]
+    n = len(columns)
+    inner = [f"c{i}" for i in range(n)]
+    kinds = ", ".join(f"{i} {t}" for i, (_, t) in zip(inner, docs.select(*columns).dtypes))
+    rows = docs.select(*(F.col(c).alias(i) for c, i in zip(columns, inner)), F.col("text").cast("string").alias("text"), F.lit(b"").alias("mask"), F.lit(None).cast("array<string>").alias("items"))
     context = docs.sparkSession.sparkContext
 
     def scan(sent, last):
         def each(batches):
             bench = Benchmark(sent.value, width)
             for batch in batches:
-                buf, off = buffer_of(batch.column(1))
+                buf, off = buffer_of(batch.column(n))
                 cut = np.unique(np.concatenate([[0], np.searchsorted(off, np.arange(TEXT_AT_ONCE, off[-1], TEXT_AT_ONCE)), [len(off) - 1]]))
                 for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
                     first, hit, pairs = bench.search(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-                    items = [set(x or ()) for x in batch.column(3)[a:b].to_pylist()]
+                    items = [set(x or ()) for x in batch.column(n + 2)[a:b].to_pylist()]
                     for d, item in pairs:
                         items[d].add(item)
-                    for d, x in enumerate(batch.column(2)[a:b].to_pylist()):
+                    for d, x in enumerate(batch.column(n + 1)[a:b].to_pylist()):
                         if x:
                             hit[first[d] : first[d + 1]] |= np.unpackbits(np.frombuffer(x, np.uint8))[: first[d + 1] - first[d]].astype(bool)
                     if last:
                         total = np.concatenate([[0], np.cumsum(hit)])
-                        out = verdict(batch.column(0)[a:b], np.diff(first), total[first[1:]] - total[first[:-1]], [sorted(x) for x in items], share)
+                        out = verdict(np.diff(first), total[first[1:]] - total[first[:-1]], [sorted(x) for x in items], share)
                     else:
                         masks = [np.packbits(hit[s:e]).tobytes() if hit[s:e].any() else b"" for s, e in zip(first[:-1].tolist(), first[1:].tolist())]
-                        out = [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(masks, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(out, [x.split()[0] for x in (RESULT if last else BETWEEN).split(", ")])
+                        out = [batch.column(n)[a:b], pa.array(masks, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+                    kept = [batch.column(i)[a:b] for i in range(n)]
+                    yield pa.RecordBatch.from_arrays([*kept, *out], [*inner, *(x.split()[0] for x in (RESULT if last else BETWEEN).split(", "))])
 
         return each
 
-    block = next(blocks)
-    for n in range(1 << 30):
+    block, passed = next(blocks), 0
+    while True:
         following = next(blocks, None)
-        rows = rows.mapInArrow(scan(context.broadcast(block), following is None), RESULT if following is None else BETWEEN)
+        rows = rows.mapInArrow(scan(context.broadcast(block), following is None), f"{kinds}, {RESULT if following is None else BETWEEN}")
         if following is None:
-            return rows
-        if n % 4 == 3:
+            return rows.withColumnsRenamed(dict(zip(inner, columns)))
+        block, passed = following, passed + 1
+        if passed % 4 == 0:
             rows = checkpoint(rows)
-        block = following
 
 
 def op9_decontamination(spark, sf_dir) -> DataFrame:
