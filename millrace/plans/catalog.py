@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import accuracy  # noqa: E402,F401  (registers its queries)
+from . import accuracy, estimators  # noqa: E402,F401  (they register their queries)
