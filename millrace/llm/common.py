@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one group of documents holds on average.
 CHUNK_BYTES = 6 << 20
+#: Tasks over which the edges of one node are spread.
+SALTS = 8
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,6 +46,13 @@ def chunked(docs: DataFrame, chunks: int, key: str = "doc_id", text: str = "text
     )
 
 
+def salted(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """edges with m of their u; a node of very many edges is dealt to SALTS tasks."""
+    left = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    right = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, ["u", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): for each node of an edge its smallest reachable node.
 
@@ -63,11 +72,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         # large star: all neighbours above a node go to the smallest of the node and its neighbours
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = salted(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: a node's lower neighbours and itself go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            salted(large, low).select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct()
         )
