@@ -193,6 +193,38 @@ def cispo(df: DataFrame, low: float = 0.2, high: float = 0.2, mode: str = "token
     return finish(df, F.transform(zipped(df), token), mode, standard_metrics(), weights)
 
 
+@LOSSES.register("reinforce")
+def reinforce(df: DataFrame, mode: str = "token-mean", weights: str | None = None) -> DataFrame:
+    """Minus log-probability times advantage, with importance weights if there are any."""
+    return finish(df, F.transform(zipped(df), lambda t: F.struct((-t["a"] * t["lp"]).alias("l"), log_ratio(t).alias("k"))), mode, {"ppo_kl": mean_over(F.transform(field("k"), lambda k: -k))}, weights)
+
+
+@LOSSES.register("bypass_mode")
+def bypass_mode(df: DataFrame, kind: str = "reinforce", level: str | None = "token", threshold: float = 2.0, options: list[str] | None = None, thresholds=None, mode: str = "token-mean", **more) -> DataFrame:
+    """The old log-probabilities are the rollout's: weights and rejection against them, then reinforce (weighted) or ppo_clip
+    (whose ratio is the weight already)."""
+    from .correction import correct
+
+    rows = correct(df.withColumn("rollout_log_prob", F.col("old_log_prob")), level, threshold, options, thresholds)
+    rows = rows.withColumn("mask", F.col("kept_mask"))
+    if kind == "reinforce":
+        return reinforce(rows, mode, "is_weights" if level else None)
+    if kind == "ppo_clip":
+        return vanilla(rows, mode=mode, **more)
+    raise ValueError(f"no kind {kind}")
+
+
+def sft_loss(df: DataFrame) -> DataFrame:
+    """Minus the mean log-probability of the tokens whose successor is in the loss mask: the mask, rolled left by one over
+    the rows laid end to end, so that a row's last place takes the next row's first, and the last row's that of the first."""
+    from pyspark.sql import Window
+
+    w = Window.orderBy("row_id")
+    following = F.coalesce(F.lead(F.col("mask")[0]).over(w), F.first(F.col("mask")[0]).over(w))
+    rows = df.withColumn("_m", F.concat(F.slice("mask", 2, F.greatest(F.size("mask") - 1, F.lit(0))), F.array(following)))
+    return rows.agg((-F.sum(S.masked_sum("log_prob", "_m")) / F.sum(S.count_mask("_m"))).alias("loss"))
+
+
 def value_loss(df: DataFrame, clip_range: float = 0.5, mode: str = "token-mean") -> DataFrame:
     """Half the larger of clipped and plain squared errors.  Columns values, old_values, returns, mask."""
 

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import accuracy, estimators, records, samples, streams, texts, training  # noqa: E402,F401  (they register their queries)
+from . import accuracy, estimators, records, reports, samples, streams, texts, training  # noqa: E402,F401  (they register their queries)

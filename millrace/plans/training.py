@@ -279,3 +279,25 @@ def rollout_is_metrics(spark, sf_dir):
 )
 def offpolicy_metrics(spark, sf_dir):
     return one_row(C.offpolicy_metrics(rollouts(spark, sf_dir)))
+
+
+policy("reinforce", "-a * lp", {"ppo_kl": MEAN.format(x="-k")})
+
+
+@query(
+    "loss_bypass_reinforce",
+    f"""WITH {TOK}, {GAP}, tl AS (SELECT row_id, CASE WHEN -x BETWEEN ln(0.5) AND ln(2) THEN m ELSE 0 END AS m, -a * lp * least(exp(x) * m, 2) AS l, x AS k FROM g)
+    SELECT {listed({"loss": MODES["token-mean"], "ppo_kl": MEAN.format(x="-k")})} FROM tl""",
+)
+def loss_bypass_reinforce(spark, sf_dir):
+    return one_row(L.policy_loss(sequences(spark, sf_dir, *NEEDS), "bypass_mode", options=["token_k1"], thresholds="2"))
+
+
+@query(
+    "loss_sft",
+    f"""WITH {TOK}, o AS (SELECT *, row_number() OVER (ORDER BY row_id, pos) AS i FROM tok),
+    s AS (SELECT lp, coalesce(lead(m) OVER (ORDER BY i), (SELECT m FROM o WHERE i = 1)) AS m FROM o)
+    SELECT round(-sum(lp * m) / sum(m), 6) + 0.0 AS loss FROM s""",
+)
+def loss_sft(spark, sf_dir):
+    return one_row(L.sft_loss(sequences(spark, sf_dir, "mask", "log_prob")))
