@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one group of documents holds on average.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 2 << 20
 #: Tasks over which the edges of one node are spread.
 SALTS = 8
 
@@ -37,6 +37,11 @@ def chunk_count(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK_BY
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // chunk_bytes))
 
 
+def part_count(docs: DataFrame, chunks: int) -> int:
+    """So many parts for what chunks send each other by key."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks // 3)
+
+
 def chunked(docs: DataFrame, chunks: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(chunk, doc_id, text): documents dealt to chunks by the hash of their id."""
     return docs.select(

@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
-from .textbytes import U, alnum_split, buffer_of, lower_table, words_of
+from .textbytes import U, alnum_split, buffer_of, lower_table, release, words_of
 
 WIDTH, BLOCK, SHARE, PATTERN_BYTES, STRETCH = 13, 2, 20, 16 << 20, 256
-TEXT_AT_ONCE = 4 << 20
+TEXT_AT_ONCE = 1 << 20
 BETWEEN = "text string, mask binary, items array<string>"
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -188,21 +188,27 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, s
     n = len(columns)
     inner = [f"c{i}" for i in range(n)]
     kinds = ", ".join(f"{i} {t}" for i, (_, t) in zip(inner, docs.select(*columns).dtypes))
-    rows = docs.select(*(F.col(c).alias(i) for c, i in zip(columns, inner)), F.col("text").cast("string").alias("text"), F.lit(b"").alias("mask"), F.lit(None).cast("array<string>").alias("items"))
+    # a text that is passed on isn't sent twice
+    own = columns.index("text") if ("text", "string") in docs.select(*columns).dtypes else n
+    extra = own == n
+    after = n + extra
+    between = BETWEEN if extra else BETWEEN.removeprefix("text string, ")
+    rows = docs.select(*(F.col(c).alias(i) for c, i in zip(columns, inner)), *[F.col("text").cast("string").alias("text")] * extra, F.lit(b"").alias("mask"), F.lit(None).cast("array<string>").alias("items"))
     context = docs.sparkSession.sparkContext
 
     def scan(sent, last):
         def each(batches):
             bench = Benchmark(sent.value, width)
             for batch in batches:
-                buf, off = buffer_of(batch.column(n))
+                release()
+                buf, off = buffer_of(batch.column(own))
                 cut = np.unique(np.concatenate([[0], np.searchsorted(off, np.arange(TEXT_AT_ONCE, off[-1], TEXT_AT_ONCE)), [len(off) - 1]]))
                 for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
                     first, hit, pairs = bench.search(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-                    items = [set(x or ()) for x in batch.column(n + 2)[a:b].to_pylist()]
+                    items = [set(x or ()) for x in batch.column(after + 1)[a:b].to_pylist()]
                     for d, item in pairs:
                         items[d].add(item)
-                    for d, x in enumerate(batch.column(n + 1)[a:b].to_pylist()):
+                    for d, x in enumerate(batch.column(after)[a:b].to_pylist()):
                         if x:
                             hit[first[d] : first[d + 1]] |= np.unpackbits(np.frombuffer(x, np.uint8))[: first[d + 1] - first[d]].astype(bool)
                     if last:
@@ -210,16 +216,16 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, s
                         out = verdict(np.diff(first), total[first[1:]] - total[first[:-1]], [sorted(x) for x in items], share)
                     else:
                         masks = [np.packbits(hit[s:e]).tobytes() if hit[s:e].any() else b"" for s, e in zip(first[:-1].tolist(), first[1:].tolist())]
-                        out = [batch.column(n)[a:b], pa.array(masks, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+                        out = [*[batch.column(n)[a:b]] * extra, pa.array(masks, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
                     kept = [batch.column(i)[a:b] for i in range(n)]
-                    yield pa.RecordBatch.from_arrays([*kept, *out], [*inner, *(x.split()[0] for x in (RESULT if last else BETWEEN).split(", "))])
+                    yield pa.RecordBatch.from_arrays([*kept, *out], [*inner, *(x.split()[0] for x in (RESULT if last else between).split(", "))])
 
         return each
 
     block, passed = next(blocks), 0
     while True:
         following = next(blocks, None)
-        rows = rows.mapInArrow(scan(context.broadcast(block), following is None), f"{kinds}, {RESULT if following is None else BETWEEN}")
+        rows = rows.mapInArrow(scan(context.broadcast(block), following is None), f"{kinds}, {RESULT if following is None else between}")
         if following is None:
             return rows.withColumnsRenamed(dict(zip(inner, columns)))
         block, passed = following, passed + 1

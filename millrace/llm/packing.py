@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, ensure_checkpoints
-from .textbytes import U, mix
+from .textbytes import U, mix, release
 
 SIZE, END, BITS, AXES, VOCABULARY = 4096, 2, 10, 3, 49_408
 #: Pieces of text whose ids a worker keeps.
@@ -161,6 +161,7 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
     def each(batches):
         encoder, vectors, end = Encoder.of_worker(where), token_vectors(), np.array([END], np.uint16).tobytes()
         for whole in batches:
+            release()
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 ids = [x + end for x in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]

@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import U, alnum_split, buffer_of, lower_table, mix, space_split, words_of
+from .textbytes import U, alnum_split, buffer_of, lower_table, mix, release, space_split, words_of
 
 BITS, SAMPLE_ROWS, LEAST_DOCS, EPOCHS, RATE, RIDGE, GRADES, KEEP = 18, 19_000, 12, 200, 0.15, 2.0, 3, 0.5
-TEXT_AT_ONCE = 4 << 20
+TEXT_AT_ONCE = 1 << 20
 #: A share is told by those of these steps that it reaches.
 STEPS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.5, 2.0, 2.5)
 
@@ -87,6 +87,7 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch, column: int):
     """(first, last, bytes, offsets) of stretches of the batch's texts."""
+    release()
     buf, off = buffer_of(batch.column(column))
     cut = np.unique(np.concatenate([[0], np.searchsorted(off, np.arange(TEXT_AT_ONCE, off[-1], TEXT_AT_ONCE)), [len(off) - 1]]))
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -169,16 +170,18 @@ def score(docs: DataFrame, model: Model, keep: float = KEEP, columns: list[str]
     sent = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
     trained = bool(np.any(model.weights))
     inner = [f"c{i}" for i in range(len(columns))]
-    rows = docs.select(*(F.col(c).alias(i) for c, i in zip(columns, inner)), F.col("text").cast("string").alias("text"))
+    # a text that is passed on isn't sent twice
+    place = columns.index("text") if ("text", "string") in docs.select(*columns).dtypes else len(columns)
+    rows = docs.select(*(F.col(c).alias(i) for c, i in zip(columns, inner)), *[F.col("text").cast("string").alias("text")] * (place == len(columns)))
 
     def each(batches):
         weights, thresholds = sent.value
         own = Model(weights, thresholds)
         for batch in batches:
-            for a, b, buf, off in slices(batch, batch.num_columns - 1):
+            for a, b, buf, off in slices(batch, place):
                 d, f = features(buf, off)
                 p = own.probabilities(np.bincount(d, weights[f], minlength=b - a))
-                arrays = [batch.column(i)[a:b] for i in range(batch.num_columns - 1)]
+                arrays = [batch.column(i)[a:b] for i in range(len(inner))]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(p @ np.arange(GRADES)), pa.array(p[:, -1]), pa.array((p[:, -1] >= keep) | (not trained))], [*inner, "expected_grade", "tail_prob", "kept"])
 
     kinds = ", ".join(f"{i} {t}" for i, (_, t) in zip(inner, docs.select(*columns).dtypes))

@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunk_count, chunked
-from .textbytes import U, buffer_of, inside, mix, rolling, space_split, split_by, strings, words_of
+from .common import CHUNK_BYTES, chunk_count, chunked, part_count
+from .textbytes import U, buffer_of, inside, mix, release, rolling, space_split, split_by, strings, words_of
 
 WIDTH, ROUNDS, GRAM = 20, 2, 4
 LOWEST = -(2**63)
@@ -84,6 +84,7 @@ class Parsed:
     """Words, window starts and the anchor of each window, for one chunk."""
 
     def __init__(self, table: pa.Table, width: int):
+        release()
         self.width = width
         self.docs = sorted_docs(table)
         self.ids = self.docs["order"].to_numpy()
@@ -143,6 +144,7 @@ REPLY = "chunk int, kind int, keys binary"
 
 def unpack(table: pa.Table):
     """All keys of a part with the chunk and document of each."""
+    release()
     keys = [np.frombuffer(x, U) for x in table["keys"].to_pylist()]
     chunk = np.repeat(table["chunk"].to_numpy(), [len(x) for x in keys])
     docs = np.frombuffer(b"".join(table["docs"].to_pylist()), np.int64)
@@ -184,7 +186,7 @@ def chunk_of(key) -> int:
 def substring_dedup(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text: kept words joined by one space), kept_sha256."""
     chunks = chunk_count(docs, chunk_bytes=chunk_bytes)
-    parts = chunks
+    parts = part_count(docs, chunks)
     rows = chunked(docs, chunks)
 
     def send_anchors(key, table):

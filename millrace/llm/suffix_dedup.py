@@ -34,12 +34,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunk_count, chunked
+from .common import chunk_count, chunked, part_count
 from .substring_dedup import chunk_of, is_in, pool_of, replies, sorted_docs
-from .textbytes import U, buffer_of, byte_codes, inside, mix, split_by
+from .textbytes import U, buffer_of, byte_codes, inside, mix, release, split_by
 
 WIDTH, GRAM, HOT = 200, 100, 48
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Bytes of suffixes that enter an index family at once.
 BATCH = 1 << 20
 SEND = "part int, chunk int, kind int, keys binary, sizes binary, bytes binary"
@@ -105,6 +105,7 @@ class Windows:
     """The windows of a chunk: starts, fingerprints and keys."""
 
     def __init__(self, table: pa.Table, width: int, gram: int, full: bool = True):
+        release()
         self.width, self.docs = width, sorted_docs(table)
         self.buf, self.off = buffer_of(self.docs["text"])
         self.at = np.flatnonzero(inside(self.off, width, len(self.buf)))
@@ -136,11 +137,12 @@ def rows_of(rows) -> pa.Table:
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256."""
     chunks = chunk_count(docs, chunk_bytes=chunk_bytes)
+    n_parts = part_count(docs, chunks)
     by_chunk = chunked(docs, chunks).groupBy("chunk")
 
     def send_keys(key, table):
         keys = np.unique(Windows(table, width, gram, full=False).key)
-        return rows_of([(p, chunk_of(key), 0, keys[x].tobytes(), b"", b"") for p, x in (split_by(keys, chunks) if len(keys) else [])])
+        return rows_of([(p, chunk_of(key), 0, keys[x].tobytes(), b"", b"") for p, x in (split_by(keys, n_parts) if len(keys) else [])])
 
     def shared(key, table):
         blobs = [np.frombuffer(x, U) for x in table["keys"].to_pylist()]
@@ -158,12 +160,12 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int
         out = []
         loose = np.unique(w.hash[np.repeat(is_in(w.key, pool_of(reply, 2)), w.size)])
         if len(loose):
-            out += [(p, chunk_of(key), 1, loose[x].tobytes(), b"", b"") for p, x in split_by(loose, chunks)]
+            out += [(p, chunk_of(key), 1, loose[x].tobytes(), b"", b"") for p, x in split_by(loose, n_parts)]
         a, b, keys = w.runs(pool_of(reply, 0))
         if len(a):
             raw = w.buf.tobytes()
             parts: dict[int, dict] = {}
-            part = ((keys >> U(32)) % U(chunks)).astype(int)
+            part = ((keys >> U(32)) % U(n_parts)).astype(int)
             for i, (p, s, e) in enumerate(zip(part.tolist(), w.at[a].tolist(), (w.at[b] + width).tolist())):
                 parts.setdefault(p, {}).setdefault(raw[s:e], i)
             for p, found in parts.items():
@@ -172,6 +174,7 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int
 
     def scan(key, table):
         """Both kinds of suffixes of a part, through a family each; a batch is as many chunks as have BATCH bytes."""
+        release()
         out = []
         kind = table["kind"].to_numpy()
         for k in (0, 1):

@@ -6,6 +6,8 @@ that a 256-entry table marks as word bytes.  Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -33,6 +35,14 @@ def lower_table() -> np.ndarray:
     return table
 
 
+def release() -> None:
+    """Gives memory of earlier batches back to the system: workers live long, and what they only hold counts too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others have no such call
+    if trim is not None:
+        trim(0)
+
+
 def buffer_of(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; the bytes of null rows are cut out."""
     if isinstance(column, pa.ChunkedArray):
