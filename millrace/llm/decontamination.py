@@ -237,3 +237,20 @@ def op9_decontamination(spark, sf_dir) -> DataFrame:
     from .common import read
 
     return decontamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP9_SQL = r"""
+WITH raw AS (
+  SELECT 0 AS item, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT item, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM raw),
+iw AS (SELECT DISTINCT id AS item_id, n, array_to_string(ws[s:s + n - 1], ' ') AS k FROM (
+  SELECT id, ws, least(13, len(ws)) AS n, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS s FROM w WHERE item = 1 AND len(ws) > 0)),
+dw AS (SELECT id AS doc_id, n, s, array_to_string(ws[s:s + n - 1], ' ') AS k FROM (
+  SELECT id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM w, (SELECT DISTINCT n FROM iw) WHERE item = 0 AND len(ws) >= n)),
+occ AS (SELECT doc_id, n, s, item_id FROM dw JOIN iw USING (n, k)),
+hit AS (SELECT doc_id, count(DISTINCT s + j) AS n_hit FROM occ, range(13) r(j) WHERE j < n GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM occ) GROUP BY doc_id)
+SELECT id AS doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN hit ON hit.doc_id = id LEFT JOIN found ON found.doc_id = id WHERE item = 0
+"""

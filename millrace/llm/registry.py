@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from .chat_format import OP8_SQL, op8_chat_format
-from .decontamination import op9_decontamination
+from .decontamination import OP9_SQL, op9_decontamination
 from .embedding_dedup import OP2_SQL, op2_embedding_dedup
 from .packing import op4_packing
 from .pii import op1_pii
 from .quality import op7_quality_classifier
 from .simhash_dedup import op6_simhash_dedup
-from .substring_dedup import op3_substring_dedup
+from .substring_dedup import OP3_SQL, op3_substring_dedup
 from .suffix_dedup import op5_suffix_dedup
 from .url_filters import OP10_SQL, op10_url_filters
 
@@ -19,4 +19,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2_SQL, "op8_chat_format": OP8_SQL, "op10_url_filters": OP10_SQL}
+    return {
+        "op2_embedding_dedup": OP2_SQL,
+        "op3_substring_dedup": OP3_SQL,
+        "op8_chat_format": OP8_SQL,
+        "op9_decontamination": OP9_SQL,
+        "op10_url_filters": OP10_SQL,
+    }

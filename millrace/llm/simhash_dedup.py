@@ -93,7 +93,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def links(keys: np.ndarray, values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, smallest fingerprint it reaches here), without those that reach no other."""
+    """Edges that connect the fingerprints which reach each other here."""
     order = np.lexsort((values, keys))
     keys, fps = keys[order], values[order]
     nodes, index = np.unique(fps, return_inverse=True)
@@ -111,8 +111,14 @@ def links(keys: np.ndarray, values: np.ndarray, distance: int) -> tuple[np.ndarr
             if new.any():
                 root = forest(len(nodes), a[new], b[new])[root]
         shift += 1
-    moved = root != np.arange(len(nodes))
-    return nodes[moved], nodes[root[moved]]
+    return chained(nodes, root)
+
+
+def chained(nodes: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges along each component's nodes in order, so that no node has more than two."""
+    order = np.lexsort((nodes, root))
+    next_too = root[order][1:] == root[order][:-1]
+    return nodes[order][:-1][next_too], nodes[order][1:][next_too]
 
 
 def near_fingerprints(distinct: DataFrame, parts: int, distance: int = DISTANCE) -> DataFrame:
