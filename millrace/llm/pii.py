@@ -117,7 +117,7 @@ def votes(kind: str, s: Column, before: Column, after: Column) -> dict[str, Colu
     if kind == "ip":
         return {"regex": vote(base, F.lit(True)), "gazetteer": vote(~F.rlike(s, F.lit(r"^(0|22[4-9]|2[3-5][0-9])\.")), F.lit(True)), "context": context, "shape": vote(~F.rlike(s, F.lit(r"(^|\.)0[0-9]")) & ~F.rlike(after, F.lit(r"^\.[0-9]")), F.lit(True))}
     if kind == "card":
-        return {"regex": vote(base, F.lit(True)), "gazetteer": vote(F.rlike(s, F.lit(CARD_STARTS)), F.lit(False)), "context": context, "shape": vote(n.isin(15, 16), n < 14)}
+        return {"regex": vote(base, F.lit(True)), "gazetteer": vote(F.rlike(s, F.lit(CARD_STARTS)), F.lit(True)), "context": context, "shape": vote(F.rlike(s, F.lit(r"^([0-9]{4}[\x20-]){3}[0-9]{1,4}$")), n < 14)}
     if kind == "phone":
         return {"regex": vote(base, F.lit(True)), "gazetteer": vote(F.rlike(s, F.lit(COUNTRY_CODES)), F.lit(True)), "context": context, "shape": vote(F.rlike(s, F.lit(r"^\+[0-9]{1,3}[\x20.(-]")) & n.between(9, 15), n < 8)}
     mixed = F.rlike(s, F.lit("[0-9]")) & F.rlike(s, F.lit("[A-Za-z]"))
