@@ -100,3 +100,20 @@ def test_token_rewards(spark):
     df = spark.createDataFrame([(1.0, [1, 1, 1, 0])], "score double, mask array<int>")
     assert scoring.token_rewards(df).first().rewards == [0.0, 0.0, 1.0, 0.0]
     assert scoring.token_rewards(df, longest=4, buffer=2, factor=1.0).first().rewards == [0.0, 0.0, 0.5, 0.0]
+
+
+def test_grading(spark, tmp_path):
+    from millrace.operators import grading as G
+
+    rows = spark.createDataFrame([("llm",)] * 9 + [("llm_error",)], "judge_source string")
+    assert G.gated(rows, 0.2).count() == 10
+    with pytest.raises(Exception, match="10.0% of the calls failed"):
+        G.gated(rows).collect()
+    (tmp_path / "own.py").write_text("def score(answer, gold, bonus=0.0):\n    return float(answer == gold) + bonus\n")
+    own = G.function_from_file(str(tmp_path / "own.py"), "score", bonus=0.5)
+    df = spark.createDataFrame([("a", "a"), ("a", "b")], "answer string, gold string")
+    from millrace.operators.gates import python_score
+
+    assert [r.score for r in python_score(df, own, "answer", "gold").collect()] == [1.5, 0.5]
+    with pytest.raises(AttributeError, match="has no"):
+        G.function_from_file(str(tmp_path / "own.py"), "other")
