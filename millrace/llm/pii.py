@@ -58,23 +58,36 @@ CONTEXT = {
     "secret": r"(?i)(token|secret|password|passwd|api[_-]?key|key|bearer)\W{0,6}$",
 }
 BEFORE = 24
+#: Matches of a text that are walked at once.
+BLOCK = 128
 FEATURES = {"kind": 5, "regex": 3, "gazetteer": 3, "context": 3, "shape": 3, "length": 4, "left": 3, "right": 3}
 THRESHOLD = 0.5
 
 
 def matches(text: Column, kind: str) -> Column:
-    """array<struct<start, end, s>> of the pattern's matches, from what lies between them."""
+    """array<struct<start, end, s, before, after>> of the pattern's matches, from what lies between them; before and after
+    are the nearest characters of that."""
     pattern = PATTERNS[kind]
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
     def step(acc, x):
         start = acc["pos"] + F.length(x["gap"])
         end = start + F.length(x["s"])
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s")))).alias("out"))
+        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s"), F.right(x["gap"], F.lit(BEFORE)).alias("before"), F.left(x["next"], F.lit(3)).alias("after")))).alias("out"))
 
-    none = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))), lambda s, gap: F.struct(s.alias("s"), gap.alias("gap")))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
+    # arrays are copied whenever they grow, so matches are walked in blocks, and blocks are then put one behind another
+    kind_of = "array<struct<start:int,end:int,s:string,before:string,after:string>>"
+    none, empty = F.array().cast(kind_of), F.array().cast(f"array<{kind_of}>")
+    n = F.greatest(F.size(found), F.lit(0))
+    pairs = F.arrays_zip(found.alias("s"), F.slice(gaps, 1, n).alias("gap"), F.slice(gaps, 2, n).alias("next"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda b: F.slice(pairs, b * BLOCK + 1, BLOCK))
+    each = F.transform(blocks, lambda block: F.aggregate(block, F.struct(F.lit(0).alias("pos"), none.alias("out")), step))
+
+    def place(acc, block):
+        moved = F.transform(block["out"], lambda m: F.struct((m["start"] + acc["pos"]).alias("start"), (m["end"] + acc["pos"]).alias("end"), m["s"].alias("s"), m["before"].alias("before"), m["after"].alias("after")))
+        return F.struct((acc["pos"] + block["pos"]).alias("pos"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    walked = F.when(F.size(pairs) > 0, F.aggregate(each, F.struct(F.lit(0).alias("pos"), empty.alias("out")), place, lambda acc: F.flatten(acc["out"]))).otherwise(none)
     hint = text.contains(HINTS[kind]) if kind in HINTS else F.rlike(text, F.lit(pattern))
     return F.when(hint, walked).otherwise(none)
 
@@ -130,15 +143,14 @@ def candidates(text: Column) -> Column:
     def of(kind: str) -> Column:
         def look(m):
             s, start, end = m["s"], m["start"], m["end"]
-            before = F.substring(text, F.greatest(start - BEFORE + 1, F.lit(1)), F.least(start, F.lit(BEFORE)))
-            after = F.substring(text, end + 1, F.lit(3))
+            before, after = m["before"], m["after"]
             edge = lambda c: F.when(c == "", 0).when(F.rlike(c, F.lit(r"^[\s\"'(<,;:!?)>]")), 1).otherwise(2)
             v = votes(kind, s, before, after)
             return F.struct(
                 start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), base_rule(kind, s).alias("base"),
                 *[(v[x] + 1).alias(x) for x in ("regex", "gazetteer", "context", "shape")],
                 F.when(F.length(s) < 12, 0).when(F.length(s) < 20, 1).when(F.length(s) < 40, 2).otherwise(3).alias("length"),
-                edge(F.substring(before, -1, 1)).alias("left"), edge(after).alias("right"),
+                edge(F.right(before, F.lit(1))).alias("left"), edge(after).alias("right"),
             )
 
         return F.transform(matches(text, kind), look)

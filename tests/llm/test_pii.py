@@ -29,6 +29,7 @@ def test_very_long_runs_take_linear_time(spark):
     values = ["a" * 200_000, "1" * 200_000, "1 " * 100_000, "a.b" * 60_000 + "@", "a@" + "b." * 80_000 + "c", "+1" * 50_000, "1." * 80_000]
     got = {r.doc_id: r.pii for r in P.find_pii(rows_of(spark, values), np.zeros(sum(P.FEATURES.values()) + 1)).collect()}
     assert [c.kind for c in got[4]] == [0] and got[0] == []
+    assert len(got[6]) == 20_000
 
 
 def test_method_adds_secrets_and_leaves_clean_texts(spark):
