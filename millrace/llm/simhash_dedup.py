@@ -10,8 +10,10 @@ which bit that was.  Linked pairs have a signature in common; pairs under a sign
 verified by their number of differing bits.
 
 Copies have one fingerprint and are one row of the index.  Signatures are dealt to parts as
-packed blobs.  A part returns a spanning forest of the links that it finds, never all pairs
-of a group.  Components come from joins of the forests' edges.
+packed blobs.  A part returns the links that it finds as chains, which connect what is
+linked: never all pairs of a group, and no node with many edges.  Components come from joins
+of these edges.  (The check tool noted tasks of 2129 of 79934 rows on check_h when a part's edges
+met in one node; with chains it notes none.  op6: 159 and 141 CPU seconds a GB.)
 
 Null and empty texts have fingerprint zero and are linked like any other.  Equal rows get
 equal results; a row without doc_id takes part, but is nobody's representative unless its group
