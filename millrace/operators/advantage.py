@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from .records import accumulated
 from .registry import Registry
 
 ESTIMATORS = Registry("advantage estimator")
@@ -210,8 +211,8 @@ def weighted_resample(df: DataFrame, weight: Column, draws: int, seed: int = 0,
     """
     spark, buckets = df.sparkSession, max(1, draws)
     total = df.agg(F.sum(weight).alias("_total"))
-    w = Window.orderBy(order)
-    spans = df.crossJoin(F.broadcast(total)).withColumn("_w", weight / F.col("_total")).withColumn("_hi", F.sum("_w").over(w)).withColumn("_lo", F.col("_hi") - F.col("_w"))
+    shares = df.crossJoin(F.broadcast(total)).withColumn("_w", weight / F.col("_total"))
+    spans = accumulated(shares, order, value=F.col("_w"), name="_hi").withColumn("_lo", F.col("_hi") - F.col("_w"))
     floor = lambda c: F.least(F.floor(c * buckets), F.lit(buckets - 1)).cast("int")
     spans = spans.withColumn("_bucket", F.explode(F.sequence(floor(F.col("_lo")), floor(F.col("_hi")))))
     points = spark.range(draws).select(F.col("id").alias("draw"), F.rand(seed).alias("_u")).withColumn("_bucket", floor(F.col("_u")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from .records import numbered
 from .registry import Registry
 
 LOSSES = Registry("policy loss")
@@ -217,11 +218,10 @@ def bypass_mode(df: DataFrame, kind: str = "reinforce", level: str | None = "tok
 def sft_loss(df: DataFrame) -> DataFrame:
     """Minus the mean log-probability of the tokens whose successor is in the loss mask: the mask, rolled left by one over
     the rows laid end to end, so that a row's last place takes the next row's first, and the last row's that of the first."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("row_id")
-    following = F.coalesce(F.lead(F.col("mask")[0]).over(w), F.first(F.col("mask")[0]).over(w))
-    rows = df.withColumn("_m", F.concat(F.slice("mask", 2, F.greatest(F.size("mask") - 1, F.lit(0))), F.array(following)))
+    rows = numbered(df, "row_id", name="_i")
+    size = rows.agg(F.count("*").alias("_size"))
+    first = rows.crossJoin(F.broadcast(size)).select(F.pmod(F.col("_i") - 1, F.col("_size")).alias("_i"), F.col("mask")[0].alias("_next"))
+    rows = rows.join(first, "_i").withColumn("_m", F.concat(F.slice("mask", 2, F.greatest(F.size("mask") - 1, F.lit(0))), F.array("_next")))
     return rows.agg((-F.sum(S.masked_sum("log_prob", "_m")) / F.sum(S.count_mask("_m"))).alias("loss"))
 
 

@@ -12,17 +12,23 @@ from pyspark.sql import functions as F
 ROW = "row_id"
 
 
-def numbered(df: DataFrame, *order, name: str = ROW) -> DataFrame:
-    """Dense numbers from 0 in the given order.
+def accumulated(df: DataFrame, *order, value: Column, name: str) -> DataFrame:
+    """Running sums of the value in the given order.
 
-    Ranges of the order are sorted in parallel; numbers are those within a range plus the sizes
-    of the ranges before, a row a range.  No task sees more than its range."""
+    Ranges of the order are summed in parallel; then the sums of the ranges before, a row a range, are added.
+    No task sees more than its range.  Rows that the order doesn't tell apart come in any order."""
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    ranged = ranged.persist()
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    starts = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return ranged.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_at") - F.col("_first") + F.col("_start")).cast("long")).drop("_part", "_at", "_first", "_start")
+    ranged = df.withColumn("_v", value).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()).persist()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_part").agg(F.sum("_v").alias("_n")).select("_part", F.sum("_n").over(before).alias("_start"))
+    own = F.sum("_v").over(Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    summed = ranged.withColumn("_own", own).join(F.broadcast(starts), "_part")
+    return summed.withColumn(name, F.col("_own") + F.coalesce("_start", F.lit(0))).drop("_v", "_part", "_own", "_start")
+
+
+def numbered(df: DataFrame, *order, name: str = ROW) -> DataFrame:
+    """Dense numbers from 0 in the given order."""
+    return accumulated(df, *order, value=F.lit(1), name=name).withColumn(name, (F.col(name) - 1).cast("long"))
 
 
 def pop(df: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
@@ -96,10 +102,12 @@ def misaligned(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 
 def runs(df: DataFrame, value: str, order: str) -> DataFrame:
     """run: number of the stretch of equal neighbouring values, from 0; run_pos: place in it."""
-    w = Window.orderBy(order)
-    new = F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int"), F.lit(1))
-    out = df.withColumn("_new", F.when(F.row_number().over(w) == 1, 0).otherwise(new)).withColumn("run", F.sum("_new").over(w))
-    return out.withColumn("run_pos", F.row_number().over(Window.partitionBy("run").orderBy(order)) - 1).drop("_new")
+    rows = numbered(df, order, name="_i")
+    before = rows.select((F.col("_i") + 1).alias("_i"), F.col(value).alias("_before"))
+    new = F.when((F.col("_i") > 0) & ~F.col(value).eqNullSafe(F.col("_before")), 1).otherwise(0)
+    out = accumulated(rows.join(before, "_i", "left"), "_i", value=new, name="run").drop("_before")
+    first = out.groupBy("run").agg(F.min("_i").alias("_first"))
+    return out.join(first, "run").withColumn("run_pos", F.col("_i") - F.col("_first")).drop("_i", "_first")
 
 
 def repeat(df: DataFrame, times: int, interleave: bool = True, count: int | None = None) -> DataFrame:
