@@ -34,7 +34,7 @@ record_query("rows_numbered", "SELECT row_id, k FROM b")(lambda b: b.select("row
 record_query("rows_select", "SELECT row_id, c FROM b")(lambda b: b.select("row_id", "c"))
 record_query("rows_pop", "SELECT row_id, p FROM b")(lambda b: R.pop(b, "p")[1])
 record_query("rows_rename", "SELECT row_id, k, c AS customer, p AS priority FROM b")(lambda b: R.rename(b, ["c", "p"], ["customer", "priority"]))
-record_query("rows_take", "SELECT x.pos AS row_id, k FROM b JOIN (VALUES (0, 7), (1, 3), (2, 7), (3, 11)) x(pos, row_id) USING (row_id)", True)(lambda b: R.take(b, [7, 3, 7, 11]).select("row_id", "k"))
+record_query("rows_take", "SELECT x.pos::BIGINT AS row_id, k FROM b JOIN (VALUES (0, 7), (1, 3), (2, 7), (3, 11)) x(pos, row_id) USING (row_id)", True)(lambda b: R.take(b, [7, 3, 7, 11]).select("row_id", "k"))
 record_query("rows_mask", "SELECT row_id, k FROM b WHERE p LIKE '1%'")(lambda b: b.where(F.col("p").startswith("1")).select("row_id", "k"))
 record_query("rows_slice", "SELECT row_id, k FROM b WHERE row_id BETWEEN 10 AND 99 AND (row_id - 10) % 3 = 0")(lambda b: R.cut(b, 10, 100, 3).select("row_id", "k"))
 record_query("rows_union_columns", "SELECT row_id, k, c, c * 2 AS d FROM b")(lambda b: R.union_columns(b.select("row_id", "k", "c"), b.select("row_id", "c", (F.col("c") * 2).alias("d"))))
@@ -170,7 +170,7 @@ def build_dual_world_summary(spark, sf_dir):
 def build_hints(spark, sf_dir):
     rows = R.numbered(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
     hints = rows.select("row_id", F.lit(1).alias("order"), F.concat(F.repeat(F.lit("R"), 120), F.col("doc_id").cast("string")).alias("hint")).union(rows.select("row_id", F.lit(2), F.lit("[ERR:timeout]" + "x" * 120)))
-    return R.with_hints(rows, hints).select("row_id", F.length("hint").alias("hint_length"))
+    return R.with_hints(rows, hints).select("row_id", F.length("hint").cast("long").alias("hint_length"))
 
 
 @query("set_operations", "SELECT doc_id, 'both' AS part FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'unlabelled' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

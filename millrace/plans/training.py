@@ -19,7 +19,7 @@ def one_row(df):
 
 
 def listed(names: dict[str, str]) -> str:
-    return ", ".join(f"round({sql}, 6) + 0.0 AS {n}" for n, sql in names.items())
+    return ", ".join(f"(round({sql}, 6) + 0.0)::DOUBLE AS {n}" for n, sql in names.items())
 
 
 MEAN = "sum(({x}) * m) / (sum(m) + 1e-8)"
