@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPS = 1e-8
+#: States of a fold that are gathered at once.
+BLOCK = 64
 
 
 def col(x) -> Column:
@@ -120,10 +122,21 @@ def position_ids(mask) -> Column:
 
 
 def running(x, step, start: Column, out=lambda s: s) -> Column:
-    """Every state of a fold from the left."""
-    none = F.array(start)
-    states = F.aggregate(col(x), none, lambda acc, v: F.concat(acc, F.array(step(F.element_at(acc, -1), v))))
-    return F.transform(F.slice(states, 2, F.greatest(F.size(states) - 1, F.lit(0))), out)
+    """Every state of a fold from the left.
+
+    Arrays are copied whenever they grow, so states are gathered in blocks: of n values, n * BLOCK / 2 are copied
+    and not the square of n."""
+    x = col(x)
+    last = F.floor((F.size(x) - 1) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: F.slice(x, b * BLOCK + 1, BLOCK))
+    none = F.slice(F.array(F.array(start)), 1, 0)
+
+    def over(acc, block):
+        states = F.aggregate(block, F.array(acc["state"]), lambda a, v: F.concat(a, F.array(step(F.element_at(a, -1), v))))
+        return F.struct(F.element_at(states, -1).alias("state"), F.concat(acc["out"], F.array(F.slice(states, 2, F.greatest(F.size(states) - 1, F.lit(0))))).alias("out"))
+
+    states = F.aggregate(blocks, F.struct(start.alias("state"), none.alias("out")), over, lambda acc: F.flatten(acc["out"]))
+    return F.transform(states, out)
 
 
 def running_sum(x) -> Column:

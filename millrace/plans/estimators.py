@@ -9,6 +9,8 @@ from ..operators import advantage as A
 from .catalog import query
 from .tables import TOK, exploded, rounded, sequences, table
 
+#: Of many digits, so that no result lies halfway between two rounded ones.
+GAMMA, LAMBDA = 0.8912345678, 0.8123456789
 GROUPED = "grp AS (SELECT *, count(*) OVER w AS n, avg(score) OVER w AS mean, stddev_samp(score) OVER w AS sd, sum(score) OVER w AS total, sum(len) OVER w AS lens, sum(len * score) OVER w AS ls FROM seq WINDOW w AS (PARTITION BY uid))"
 WHITE = "(x - (SELECT sum(x * m) / (sum(m) + 1e-8) FROM src)) / sqrt((SELECT sum(m * (x - mu) ** 2) / (sum(m) + 1e-8) * sum(m) / (sum(m) - 1) FROM src, (SELECT sum(x * m) / (sum(m) + 1e-8) AS mu FROM src)) + 1e-8)"
 
@@ -67,9 +69,9 @@ def adv_remax(spark, sf_dir):
 
 
 #: A token's discounted return counts what follows up to the first masked token, that one included.
-DISCOUNTED = """
+DISCOUNTED = f"""
 src AS (
-  SELECT t.row_id, t.pos, t.m, sum(u.r * power(0.9, u.pos - t.pos)) AS x
+  SELECT t.row_id, t.pos, t.m, sum(u.r * power({GAMMA}, u.pos - t.pos)) AS x
   FROM tok t JOIN tok u ON u.row_id = t.row_id AND u.pos >= t.pos
   WHERE NOT EXISTS (SELECT 1 FROM tok z WHERE z.row_id = t.row_id AND z.pos > t.pos AND z.pos <= u.pos AND z.m = 0)
   GROUP BY t.row_id, t.pos, t.m)
@@ -78,23 +80,23 @@ src AS (
 
 @query("adv_reinforce_plus_plus", f"WITH {TOK}, {DISCOUNTED} SELECT row_id, pos, round({WHITE} * m, 6) + 0.0 AS advantages, round(x, 6) + 0.0 AS returns FROM src")
 def adv_reinforce_plus_plus(spark, sf_dir):
-    return exploded(A.compute_advantage(sequences(spark, sf_dir, "rewards", "mask"), "reinforce_plus_plus", gamma=0.9), "advantages", "returns")
+    return exploded(A.compute_advantage(sequences(spark, sf_dir, "rewards", "mask"), "reinforce_plus_plus", gamma=GAMMA), "advantages", "returns")
 
 
 #: Masked tokens pass on the state behind them, so a token's advantage sums over the unmasked tokens from itself on.
-GAE = """
+GAE = f"""
 nxt AS (SELECT *, sum(m) OVER (PARTITION BY row_id ORDER BY pos) AS k FROM tok),
 live AS (SELECT *, coalesce(lead(v) OVER (PARTITION BY row_id ORDER BY pos), 0) AS vn FROM nxt WHERE m = 1),
-delta AS (SELECT row_id, k, r + 0.9 * vn - v AS d FROM live),
+delta AS (SELECT row_id, k, r + {GAMMA} * vn - v AS d FROM live),
 src AS (
-  SELECT n.row_id, n.pos, n.m, n.v, coalesce(sum(d.d * power(0.9 * 0.8, d.k - (n.k + 1 - n.m))), 0) AS x
+  SELECT n.row_id, n.pos, n.m, n.v, coalesce(sum(d.d * power({GAMMA} * {LAMBDA}, d.k - (n.k + 1 - n.m))), 0) AS x
   FROM nxt n LEFT JOIN delta d ON d.row_id = n.row_id AND d.k >= n.k + 1 - n.m GROUP BY ALL)
 """
 
 
 @query("adv_gae", f"WITH {TOK}, {GAE} SELECT row_id, pos, round({WHITE}, 6) + 0.0 AS advantages, round(x + v, 6) + 0.0 AS returns FROM src")
 def adv_gae(spark, sf_dir):
-    return exploded(A.compute_advantage(sequences(spark, sf_dir, "rewards", "values", "mask"), "gae", gamma=0.9, lam=0.8), "advantages", "returns")
+    return exploded(A.compute_advantage(sequences(spark, sf_dir, "rewards", "values", "mask"), "gae", gamma=GAMMA, lam=LAMBDA), "advantages", "returns")
 
 
 def weighed(spark, sf_dir):

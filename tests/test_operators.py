@@ -78,6 +78,15 @@ def test_gae_against_a_loop(spark):
     assert df.select(S.gae("r", "v", "m", 0.9, 0.8).alias("x")).first().x == pytest.approx(want[::-1])
 
 
+def test_long_folds(spark):
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 63, 64, 65, 129, 3000):
+        x = rng.normal(size=n)
+        df = spark.createDataFrame([(x.tolist(), [1] * n)], "x array<double>, m array<int>")
+        got = df.select(S.running_sum("x").alias("a"), S.reward_to_go("x", "m").alias("b")).first()
+        assert got.a == pytest.approx(np.cumsum(x).tolist()) and got.b == pytest.approx(np.cumsum(x[::-1])[::-1].tolist())
+
+
 def test_losses(spark):
     df = spark.createDataFrame([(0, [-0.5, -1.0], [-0.7, -0.6], [1.0, -2.0], [1, 1])], "row_id long, log_prob array<double>, old_log_prob array<double>, advantages array<double>, mask array<int>")
     got = L.policy_loss(df, "vanilla").first()
