@@ -62,6 +62,7 @@ class Known(dict):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
+        self.signs: dict[str, bytes] = {}
         self.kept, self.tokenizer = kept, Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -78,23 +79,32 @@ class Known(dict):
         self.cut = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")).findall
         self.plain = regex.compile(PLAIN).fullmatch
 
-    def pack(self, ids) -> bytes:
-        return array("H", ids).tobytes()
-
     def one(self, piece: str) -> bytes:
-        return self.pack(self.merge(piece.lower().encode() + b"\xff"))
+        return array("H", self.merge(piece.lower().encode() + b"\xff")).tobytes()
+
+    def is_plain(self, piece: str) -> bool:
+        return (piece.isprintable() if piece.isascii() else self.plain(piece) is not None) and "<|" not in piece
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) > self.kept:
             self.clear()
             self[""] = b""
-        core = piece.rstrip(SIGNS)
-        if not self.plain(piece) or "<|" in piece:
-            out = self.pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        elif core.isalpha():
-            out = self.one(piece) if len(core) == len(piece) else self[core] + self.one(piece[len(core) :])
+        if not self.is_plain(piece):
+            out = array("H", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        elif piece.isalpha():
+            out = self.one(piece)
         else:
-            out = b"".join(self.one(x) for x in self.cut(piece.lower()))
+            core = piece.rstrip(SIGNS)
+            if core.isalpha():
+                tail = piece[len(core) :]
+                signs = self.signs.get(tail)
+                if signs is None:
+                    signs = self.one(tail)
+                    if len(self.signs) < self.kept:
+                        self.signs[tail] = signs
+                out = self[core] + signs
+            else:
+                out = b"".join(map(self.one, self.cut(piece.lower())))
         self[piece] = out
         return out
 
@@ -159,16 +169,16 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
     names = ["doc_id", "n", "ids", *(f"x{i}" for i in range(AXES))]
 
     def each(batches):
-        encoder, vectors, end = Encoder.of_worker(where), token_vectors(), np.array([END], np.uint16).tobytes()
+        encoder, vectors, end = Encoder.of_worker(where), np.ascontiguousarray(token_vectors().T), np.array([END], np.uint16).tobytes()
         for whole in batches:
             release()
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 ids = [x + end for x in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
                 size = np.array([len(x) // 2 for x in ids], np.int64)
-                sums = np.add.reduceat(vectors[np.frombuffer(b"".join(ids), np.uint16)], np.cumsum(size) - size, axis=0, dtype=np.float64)
-                means = sums / size[:, None]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(ids, pa.binary()), *(pa.array(means[:, i]) for i in range(AXES))], names)
+                flat, first = np.frombuffer(b"".join(ids), np.uint16), np.cumsum(size) - size
+                means = [np.add.reduceat(axis[flat], first, dtype=np.float64) / size for axis in vectors]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(ids, pa.binary()), *map(pa.array, means)], names)
 
     kinds = "doc_id long, n long, ids binary, " + ", ".join(f"x{i} double" for i in range(AXES))
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, kinds)
