@@ -48,8 +48,7 @@ def after(x: Column, at: Column, part: str) -> Column:
 
 
 def without_thoughts(x: Column) -> Column:
-    at = find_last(x, THINK_END)
-    return F.when(at > 0, after(x, at, THINK_END)).otherwise(x)
+    return F.regexp_replace(x, r"(?s)^.*</think>", "")
 
 
 def between_last(x: Column) -> Column:
@@ -62,9 +61,7 @@ def between_last(x: Column) -> Column:
 
 def unwrap(answer) -> Column:
     """The deciding part: behind thoughts, in the last answer tag, behind the last mark."""
-    body = between_last(without_thoughts(text(answer)))
-    at = find_last(body, MARK)
-    return strip(F.when(at > 0, after(body, at, MARK)).otherwise(body))
+    return strip(F.regexp_replace(between_last(without_thoughts(text(answer))), r"(?s)^.*Answer:", ""))
 
 
 def is_error(answer) -> Column:
@@ -78,8 +75,8 @@ def should_retry(answer) -> Column:
 
 
 def first_group(x: Column, pattern: str, group: int = 1) -> Column:
-    """Null where the pattern isn't found."""
-    return F.when(F.rlike(x, F.lit(pattern)), F.regexp_extract(x, pattern, group))
+    """Null where the pattern isn't found.  The group must not be able to match nothing."""
+    return F.nullif(F.regexp_extract(x, pattern, group), F.lit(""))
 
 
 def predicted_letter(answer) -> Column:
