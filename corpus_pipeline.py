@@ -11,8 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ensure_checkpoints, read
+from millrace.llm.common import checkpoint, ensure_checkpoints, read
 from millrace.llm.decontamination import decontamination
+from millrace.llm.near_copies import near_copies
 from millrace.llm.packing import packing
 from millrace.llm.pii import find_pii, redacted
 from millrace.llm.quality import quality_classifier
@@ -36,6 +37,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns]).union(rest)
 
 
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What near_dedup keeps, and of its documents that 5-word shingles connect (Jaccard 0.8 or more) the one of smallest doc_id."""
+    one = checkpoint(near_dedup(spark, docs, sf_dir))
+    copies = near_copies(one.where("doc_id is not null")).where("id <> component").select(F.col("id").alias("doc_id"))
+    return one.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which one word in 20 or more lies in a benchmark passage."""
     judged = decontamination(docs, read(spark, sf_dir, "benchmark"), columns=[*docs.columns])
@@ -56,7 +64,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing(docs)
 
 
-STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pii", hide_pii), ("packing", pack)]
+STAGES = [("quality", quality), ("near_dedup", without_copies), ("decontaminate", decontaminate), ("pii", hide_pii), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
