@@ -141,8 +141,8 @@ def adv_tir_optimal_token_baseline(spark, sf_dir):
 @query("pf_reweight_resample")
 def pf_reweight_resample(spark, sf_dir):
     """Random: as many rows as there are, drawn by squared score."""
-    rows = sequences(spark, sf_dir, "rewards").where("row_id < 2000").withColumn("score", S.total("rewards"))
-    drawn = A.weighted_resample(rows, F.pow(F.abs("score"), 2) + 1e-8, 500, seed=7)
+    rows = sequences(spark, sf_dir, "rewards").withColumn("score", S.total("rewards"))
+    drawn = A.weighted_resample(rows, F.pow(F.abs("score"), 2) + 1e-8, rows.count(), seed=7)
     return drawn.select("draw", "row_id", rounded(F.col("score")).alias("score"))
 
 
