@@ -203,6 +203,14 @@ def compute_advantage(df: DataFrame, estimator: str, **options) -> DataFrame:
     return ESTIMATORS.get(estimator)(df, **options)
 
 
+def adaptive_kl_path(df: DataFrame, order: str, kl: str, steps: Column, start: float, target: float, horizon: float) -> DataFrame:
+    """coefficient: the adaptive controller's after each row, of any number of rows.
+
+    Each step multiplies it by a factor above zero, so it is a running sum of logarithms."""
+    factor = 1 + F.greatest(F.least(F.col(kl) / target - 1, F.lit(0.2)), F.lit(-0.2)) * steps / horizon
+    return accumulated(df, order, value=F.log(factor), name="coefficient").withColumn("coefficient", start * F.exp("coefficient"))
+
+
 def weighted_resample(df: DataFrame, weight: Column, draws: int, seed: int = 0, order: str = "row_id") -> DataFrame:
     """`draws` rows with replacement, each row with a chance in proportion to its weight.
 
@@ -212,9 +220,12 @@ def weighted_resample(df: DataFrame, weight: Column, draws: int, seed: int = 0,
     spark, buckets = df.sparkSession, max(1, draws)
     total = df.agg(F.sum(weight).alias("_total"))
     shares = df.crossJoin(F.broadcast(total)).withColumn("_w", weight / F.col("_total"))
-    spans = accumulated(shares, order, value=F.col("_w"), name="_hi").withColumn("_lo", F.col("_hi") - F.col("_w"))
+    spans = accumulated(shares, order, value=F.col("_w"), name="_hi")
+    top = spans.agg(F.max("_hi").alias("_top"), F.max(F.when(F.col("_w") > 0, F.col(order))).alias("_end"))
+    spans = spans.withColumn("_lo", F.col("_hi") - F.col("_w")).crossJoin(F.broadcast(top)).withColumn("_last", F.col(order) == F.col("_end")).drop("_top", "_end")
     floor = lambda c: F.least(F.floor(c * buckets), F.lit(buckets - 1)).cast("int")
-    spans = spans.withColumn("_bucket", F.explode(F.sequence(floor(F.col("_lo")), floor(F.col("_hi")))))
+    spans = spans.withColumn("_bucket", F.explode(F.sequence(floor(F.col("_lo")), F.when(F.col("_last"), F.lit(buckets - 1)).otherwise(floor(F.col("_hi"))))))
     points = spark.range(draws).select(F.col("id").alias("draw"), F.rand(seed).alias("_u")).withColumn("_bucket", floor(F.col("_u")))
-    hit = points.join(spans, "_bucket").where("_u >= _lo and _u < _hi")
-    return hit.drop("_bucket", "_u", "_lo", "_hi", "_w", "_total")
+    # the last span is open: running sums may end below 1 by rounding
+    hit = points.join(spans, "_bucket").where("_u >= _lo and (_u < _hi or _last)")
+    return hit.drop("_last").drop("_bucket", "_u", "_lo", "_hi", "_w", "_total")

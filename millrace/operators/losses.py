@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from .records import numbered
+from .records import accumulated, numbered
 from .registry import Registry
 
 LOSSES = Registry("policy loss")
@@ -127,22 +127,22 @@ def covariance(df: DataFrame, mean_eps: float) -> DataFrame:
 
 
 def chosen_tokens(rows: DataFrame, wanted: Column, score: Column, share: float, order) -> DataFrame:
-    """rows with _pick: the positions of the tokens that a share of all (one at least) takes, first by `order`."""
+    """rows with _pick: the positions of the tokens that a share of all (one at least) takes, first by `order`; ranks come
+    from ranges of that order, so that no task sorts more than its range."""
     cov = F.transform(zipped(rows), lambda t, i: F.struct(i.alias("i"), t["m"].alias("m"), wanted(t).alias("w"), score(t).alias("s")))
     tokens = rows.select("row_id", "_n", F.explode(F.filter(cov, lambda t: (t["m"] != 0) & t["w"])).alias("t"))
-    size = rows.agg(F.greatest(F.floor(F.max("_n") * share), F.lit(1)).cast("int").alias("k"))
-    limit = size.first()["k"] or 1  # one number
-    picked = tokens.select("row_id", F.col("t.i").alias("i"), F.col("t.s").alias("s")).orderBy(*order).limit(limit)
+    ranked = accumulated(tokens.select("row_id", "_n", F.col("t.i").alias("i"), F.col("t.s").alias("s")), *order, value=F.lit(1), name="_rank")
+    picked = ranked.where(F.col("_rank") <= F.greatest(F.floor(F.col("_n") * share), F.lit(1)))
     return rows.join(picked.groupBy("row_id").agg(F.collect_set("i").alias("_pick")), "row_id", "left").withColumn("_pick", F.coalesce("_pick", F.array().cast("array<int>")))
 
 
 @LOSSES.register("clip_cov")
 def clip_cov(df: DataFrame, low: float = 0.2, high: float = 0.2, share: float = 0.0002, lb: float = 1.0, ub: float = 5.0, seed: int = 0, mode: str = "token-mean", weights: str | None = None) -> DataFrame:
-    """Takes out a random share of the tokens whose covariance lies between the bounds."""
+    """Takes out a share of the tokens whose covariance lies between the bounds, drawn by a hash of seed, row and position."""
     rows = covariance(df, S.EPS)
     cov = lambda t: (t["a"] - F.col("_ma")) * (t["lp"] - F.col("_ml"))
     clipped = lambda t: -t["a"] * S.clip(F.exp(log_ratio(t, None)), 1 - low, 1 + high) > -t["a"] * F.exp(log_ratio(t, None))
-    rows = chosen_tokens(rows, lambda t: ~clipped(t) & (cov(t) < ub) & (cov(t) > lb), cov, share, (F.rand(seed),))
+    rows = chosen_tokens(rows, lambda t: ~clipped(t) & (cov(t) < ub) & (cov(t) > lb), cov, share, (F.xxhash64(F.lit(seed), "row_id", "i"), "row_id", "i"))
 
     def token(t, i):
         k = log_ratio(t, None)

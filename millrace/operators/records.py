@@ -12,13 +12,24 @@ from pyspark.sql import functions as F
 ROW = "row_id"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df with its rows and their partitions fixed: checkpointed where spark.checkpoint.dir is set, else cached."""
+    context = df.sparkSession.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not where:
+            return df.persist()
+        context.setCheckpointDir(where)
+    return df.checkpoint()
+
+
 def accumulated(df: DataFrame, *order, value: Column, name: str) -> DataFrame:
     """Running sums of the value in the given order.
 
     Ranges of the order are summed in parallel; then the sums of the ranges before, a row a range, are added.
     No task sees more than its range.  Rows that the order doesn't tell apart come in any order."""
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.withColumn("_v", value).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = settled(df.withColumn("_v", value).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("_part").agg(F.sum("_v").alias("_n")).select("_part", F.sum("_n").over(before).alias("_start"))
     own = F.sum("_v").over(Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
@@ -198,6 +209,12 @@ def reorder(df: DataFrame, places: DataFrame) -> DataFrame:
     return df.join(places, ROW).withColumn(ROW, F.col("new_pos").cast("long")).drop("new_pos")
 
 
+def reversed_places(df: DataFrame) -> DataFrame:
+    """Places that turn the batch round: row_id and new_pos."""
+    top = df.agg(F.max(ROW).alias("_top"))
+    return df.select(ROW).crossJoin(F.broadcast(top)).select(ROW, (F.col("_top") - F.col(ROW)).alias("new_pos"))
+
+
 def list_to_columns(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """One array a key, from an array of maps."""
     return df.select(ROW, *[F.transform(column, _field(k)).alias(k) for k in keys])

@@ -106,12 +106,12 @@ def val_bootstrap(spark, sf_dir):
     return M.bootstrap(rows, ["source"], "doc_id", "v")
 
 
-STEPS = "s AS (SELECT event_id // 100 AS step, CASE event_id % 6 WHEN 0 THEN 'loss/max' WHEN 1 THEN 'timing_s/gen' WHEN 2 THEN 'reward/mean' WHEN 3 THEN 'len/min' WHEN 4 THEN 'tokens/total' ELSE 'lr' END AS name, value FROM events WHERE event_id % 100 < 6)"
+STEPS = "s AS (SELECT event_id // 6 AS step, CASE event_id % 6 WHEN 0 THEN 'loss/max' WHEN 1 THEN 'timing_s/gen' WHEN 2 THEN 'reward/mean' WHEN 3 THEN 'len/min' WHEN 4 THEN 'tokens/total' ELSE 'lr' END AS name, value FROM events)"
 
 
 def steps(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, ["loss/max", "timing_s/gen", "reward/mean", "len/min", "tokens/total", "lr"])), (F.col("event_id") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "events").where("event_id % 100 < 6").select(F.expr("event_id div 100").alias("step"), kind.alias("name"), "value")
+    return table(spark, sf_dir, "events").select(F.expr("event_id div 6").alias("step"), kind.alias("name"), "value")
 
 
 def step_query(name: str, sql: str):
@@ -186,14 +186,14 @@ def metrics_variance_proxies(spark, sf_dir):
 
 @query(
     "acc_reference_counts",
-    """WITH r AS (SELECT doc_id, list_transform(string_split(left(text, 200), ' '), lambda w: trim(regexp_replace(lower(w), '[^a-z0-9]', '', 'g'))) AS refs, trim(regexp_replace(lower(string_split(text, ' ')[1]), '[^a-z0-9]', '', 'g')) AS pred FROM documents WHERE lang = 'en' AND text IS NOT NULL),
+    """WITH r AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: trim(regexp_replace(lower(w), '[^a-z0-9]', '', 'g'))) AS refs, trim(regexp_replace(lower(string_split(text, ' ')[1]), '[^a-z0-9]', '', 'g')) AS pred FROM documents WHERE text IS NOT NULL),
     a AS (SELECT least(len(list_filter(refs, lambda x: x = pred)) / 3, 1) AS a FROM r WHERE pred NOT IN ('a', 'an', 'the'))
     SELECT round_even(a, 1) AS bin, count(*) AS n, round(avg(a), 6) AS mean FROM a GROUP BY 1""",
 )
 def acc_reference_counts(spark, sf_dir):
     """Counted agreement with references, by bins of a tenth."""
-    plain = lambda w: F.trim(F.regexp_replace(F.lower(w), "[^a-z0-9]", ""))
-    d = table(spark, sf_dir, "documents").where("lang = 'en' and text is not null")
-    rows = d.select(F.transform(F.split(F.substring("text", 1, 200), " "), plain).alias("refs"), plain(F.split("text", " ")[0]).alias("pred")).where(~F.col("pred").isin("a", "an", "the"))
+    plain = lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9 ]", "")
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    rows = d.select(F.split(plain("text"), " ").alias("refs")).withColumn("pred", F.col("refs")[0]).where(~F.col("pred").isin("a", "an", "the"))
     a = rows.select(M.count_accuracy(F.col("pred"), F.col("refs")).alias("a"))
     return a.groupBy(F.bround("a", 1).alias("bin")).agg(F.count("*").alias("n"), rounded(F.avg("a")).alias("mean"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..operators import advantage as A
+from ..operators import records as R
 from .catalog import query
 from .tables import TOK, exploded, rounded, sequences, table
 
@@ -236,12 +237,11 @@ list_query("list_union_support", "array_to_string(list_sort(list_distinct(list_c
 
 @query(
     "adaptive_kl_controller",
-    """WITH RECURSIVE k AS (SELECT row_number() OVER (ORDER BY event_id) AS i, abs(value) % 10 AS kl FROM events WHERE event_id < 50),
-    run AS (SELECT 0 AS i, 0.2::DOUBLE AS b UNION ALL
-            SELECT k.i, run.b * (1 + greatest(least(k.kl / 6 - 1, 0.2), -0.2) * 16 / 10000) FROM run JOIN k ON k.i = run.i + 1)
-    SELECT i::BIGINT AS step, round(b, 9) AS coefficient FROM run WHERE i > 0""",
+    """WITH k AS (SELECT event_id, 1 + greatest(least(abs(value) % 10 / 6 - 1, 0.2), -0.2) * 16 / 10000 AS f FROM events)
+    SELECT row_number() OVER (ORDER BY event_id) AS step, round(0.2 * exp(sum(ln(f)) OVER (ORDER BY event_id)), 6) + 0.0 AS coefficient FROM k""",
 )
 def adaptive_kl_controller(spark, sf_dir):
-    kls = table(spark, sf_dir, "events").where("event_id < 50").agg(F.sort_array(F.collect_list(F.struct("event_id", (F.abs("value") % 10).alias("kl")))).alias("k"))
-    steps = S.adaptive_kl(0.2, F.transform("k", lambda x: x["kl"]), F.transform("k", lambda x: F.lit(16.0)), 6.0, 10000.0)
-    return kls.select(F.posexplode(steps).alias("step", "b")).select((F.col("step") + 1).cast("long").alias("step"), rounded(F.col("b"), 9).alias("coefficient"))
+    """The coefficient after each event."""
+    kls = R.numbered(table(spark, sf_dir, "events").select("event_id", (F.abs("value") % 10).alias("kl")), "event_id")
+    out = A.adaptive_kl_path(kls, "event_id", "kl", F.lit(16.0), 0.2, 6.0, 10000.0)
+    return out.select((F.col("row_id") + 1).alias("step"), rounded(F.col("coefficient")).alias("coefficient"))

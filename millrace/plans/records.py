@@ -12,19 +12,18 @@ from .tables import rounded, table
 
 #: orders as a batch: row_id is the order number's place, which the table holds densely.
 ROWS = "b AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, o_orderkey AS k, o_custkey AS c, o_orderpriority AS p FROM orders)"
-SMALL = ROWS.replace("FROM orders)", "FROM orders WHERE o_orderkey < 400)")
 
 
-def batch(spark, sf_dir, small: bool = False):
+def batch(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("p"))
-    return R.numbered(rows.where("k < 400") if small else rows, "k").select("row_id", "k", "c", "p")
+    return R.numbered(rows, "k").select("row_id", "k", "c", "p")
 
 
-def record_query(name: str, sql: str, small: bool = False):
+def record_query(name: str, sql: str):
     """fn(batch) against SQL over `b`."""
 
     def add(fn):
-        query(name, f"WITH {SMALL if small else ROWS} {sql}")(lambda spark, sf_dir: fn(batch(spark, sf_dir, small)))
+        query(name, f"WITH {ROWS} {sql}")(lambda spark, sf_dir: fn(batch(spark, sf_dir)))
         return fn
 
     return add
@@ -34,32 +33,31 @@ record_query("rows_numbered", "SELECT row_id, k FROM b")(lambda b: b.select("row
 record_query("rows_select", "SELECT row_id, c FROM b")(lambda b: b.select("row_id", "c"))
 record_query("rows_pop", "SELECT row_id, p FROM b")(lambda b: R.pop(b, "p")[1])
 record_query("rows_rename", "SELECT row_id, k, c AS customer, p AS priority FROM b")(lambda b: R.rename(b, ["c", "p"], ["customer", "priority"]))
-record_query("rows_take", "SELECT x.pos::BIGINT AS row_id, k FROM b JOIN (VALUES (0, 7), (1, 3), (2, 7), (3, 11)) x(pos, row_id) USING (row_id)", True)(lambda b: R.take(b, [7, 3, 7, 11]).select("row_id", "k"))
+record_query("rows_take", "SELECT x.pos::BIGINT AS row_id, k FROM b JOIN (VALUES (0, 7), (1, 3), (2, 7), (3, 11)) x(pos, row_id) USING (row_id)")(lambda b: R.take(b, [7, 3, 7, 11]).select("row_id", "k"))
 record_query("rows_mask", "SELECT row_id, k FROM b WHERE p LIKE '1%'")(lambda b: b.where(F.col("p").startswith("1")).select("row_id", "k"))
 record_query("rows_slice", "SELECT row_id, k FROM b WHERE row_id BETWEEN 10 AND 99 AND (row_id - 10) % 3 = 0")(lambda b: R.cut(b, 10, 100, 3).select("row_id", "k"))
 record_query("rows_union_columns", "SELECT row_id, k, c, c * 2 AS d FROM b")(lambda b: R.union_columns(b.select("row_id", "k", "c"), b.select("row_id", "c", (F.col("c") * 2).alias("d"))))
-record_query("rows_repeat_interleaved", "SELECT row_id * 3 + j AS row_id, k FROM b, range(3) r(j)", True)(lambda b: R.repeat(b, 3).select("row_id", "k"))
-record_query("rows_repeat_tiled", "SELECT j * (SELECT count(*) FROM b) + row_id AS row_id, k FROM b, range(3) r(j)", True)(lambda b: R.repeat(b, 3, interleave=False).select("row_id", "k"))
-record_query("rows_repeat_each", "SELECT row_id, j::INT AS copy FROM b, range(4) r(j) WHERE j < c % 4", True)(lambda b: R.repeat_each(b, F.col("c") % 4).select("row_id", "copy"))
-record_query("rows_concat", "SELECT row_id, k FROM b UNION ALL SELECT row_id + (SELECT count(*) FROM b), k FROM b", True)(lambda b: R.concat(b.select("row_id", "k"), b.select("row_id", "k")))
-record_query("rows_chunk", "SELECT row_id, (row_id // ((SELECT count(*) + 6 FROM b) // 7))::INT AS chunk FROM b", True)(lambda b: R.chunk(b, 7, strict=False).select("row_id", "chunk"))
+record_query("rows_repeat_interleaved", "SELECT row_id * 3 + j AS row_id, k FROM b, range(3) r(j)")(lambda b: R.repeat(b, 3).select("row_id", "k"))
+record_query("rows_repeat_tiled", "SELECT j * (SELECT count(*) FROM b) + row_id AS row_id, k FROM b, range(3) r(j)")(lambda b: R.repeat(b, 3, interleave=False).select("row_id", "k"))
+record_query("rows_repeat_each", "SELECT row_id, j::INT AS copy FROM b, range(4) r(j) WHERE j < c % 4")(lambda b: R.repeat_each(b, F.col("c") % 4).select("row_id", "copy"))
+record_query("rows_concat", "SELECT row_id, k FROM b UNION ALL SELECT row_id + (SELECT count(*) FROM b), k FROM b")(lambda b: R.concat(b.select("row_id", "k"), b.select("row_id", "k")))
+record_query("rows_chunk", "SELECT row_id, (row_id // ((SELECT count(*) + 6 FROM b) // 7))::INT AS chunk FROM b")(lambda b: R.chunk(b, 7, strict=False).select("row_id", "chunk"))
 record_query("rows_batches_drop_last", "SELECT row_id, (row_id // 64)::INT AS batch FROM b WHERE row_id // 64 < (SELECT count(*) FROM b) // 64")(lambda b: R.batches(b, 64, drop_last=True).select("row_id", "batch"))
-record_query("rows_pad_to_divisor", "SELECT row_id, k, FALSE AS padding FROM b UNION ALL SELECT n + i, k, TRUE FROM (SELECT count(*) AS n FROM b) t, range(32) r(i), b WHERE i < (32 - n % 32) % 32 AND b.row_id = i % n", True)(lambda b: R.pad_to(b, 32).select("row_id", "k", "padding"))
-record_query("rows_pad_unpad", "SELECT row_id, k FROM b", True)(lambda b: R.unpad(R.pad_to(b, 32)).select("row_id", "k"))
-record_query("rows_pad_with_first", "SELECT row_id, k FROM b UNION ALL SELECT (SELECT count(*) FROM b) + i, k FROM b, range(5) r(i) WHERE row_id = 0", True)(lambda b: R.pad_with(b, 5, "first").select("row_id", "k"))
-record_query("rows_fold", "SELECT row_id // 4 AS row_id, string_agg(k::VARCHAR, ',' ORDER BY row_id) AS ks FROM b GROUP BY 1", True)(lambda b: R.fold(b, 4).select("row_id", F.array_join(F.transform("k", lambda x: x.cast("string")), ",").alias("ks")))
-record_query("rows_unfold", "SELECT row_id * 2 + j AS row_id, CASE j WHEN 0 THEN k || ',' || c ELSE c || ',' || k END AS piece FROM b, range(2) r(j)", True)(
+record_query("rows_pad_to_divisor", "SELECT row_id, k, FALSE AS padding FROM b UNION ALL SELECT n + i, k, TRUE FROM (SELECT count(*) AS n FROM b) t, range(32) r(i), b WHERE i < (32 - n % 32) % 32 AND b.row_id = i % n")(lambda b: R.pad_to(b, 32).select("row_id", "k", "padding"))
+record_query("rows_pad_unpad", "SELECT row_id, k FROM b")(lambda b: R.unpad(R.pad_to(b, 32)).select("row_id", "k"))
+record_query("rows_pad_with_first", "SELECT row_id, k FROM b UNION ALL SELECT (SELECT count(*) FROM b) + i, k FROM b, range(5) r(i) WHERE row_id = 0")(lambda b: R.pad_with(b, 5, "first").select("row_id", "k"))
+record_query("rows_fold", "SELECT row_id // 4 AS row_id, string_agg(k::VARCHAR, ',' ORDER BY row_id) AS ks FROM b GROUP BY 1")(lambda b: R.fold(b, 4).select("row_id", F.array_join(F.transform("k", lambda x: x.cast("string")), ",").alias("ks")))
+record_query("rows_unfold", "SELECT row_id * 2 + j AS row_id, CASE j WHEN 0 THEN k || ',' || c ELSE c || ',' || k END AS piece FROM b, range(2) r(j)")(
     lambda b: R.unfold(b.select("row_id", F.array("k", "c", "c", "k").alias("v")), 2, "v").select("row_id", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("piece"))
 )
-record_query("rows_reorder", "SELECT (SELECT count(*) FROM b) - 1 - row_id AS row_id, k FROM b", True)(lambda b: R.reorder(b, b.select("row_id", (F.max("row_id").over(Window.partitionBy()) - F.col("row_id")).alias("new_pos"))).select("row_id", "k"))
-record_query("rows_missing_numbers", "SELECT i AS row_id FROM range(300) r(i) WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.row_id = i AND b.c % 3 > 0)", True)(lambda b: R.missing_numbers(b.where("c % 3 > 0"), 300))
-record_query("rows_misaligned", "SELECT count(*) FILTER (row_id % 50 = 7) AS mismatches, min(row_id) FILTER (row_id % 50 = 7) AS first_mismatch FROM b", True)(lambda b: R.misaligned(b.select("row_id", "p"), b.select("row_id", F.when(F.col("row_id") % 50 == 7, "x").otherwise(F.col("p")).alias("p")), "p"))
+record_query("rows_reorder", "SELECT (SELECT count(*) FROM b) - 1 - row_id AS row_id, k FROM b")(lambda b: R.reorder(b, R.reversed_places(b)).select("row_id", "k"))
+record_query("rows_missing_numbers", "SELECT row_id FROM b WHERE c % 3 = 0")(lambda b: R.missing_numbers(b.where("c % 3 > 0"), b.count()))
+record_query("rows_misaligned", "SELECT count(*) FILTER (row_id % 50 = 7) AS mismatches, min(row_id) FILTER (row_id % 50 = 7) AS first_mismatch FROM b")(lambda b: R.misaligned(b.select("row_id", "p"), b.select("row_id", F.when(F.col("row_id") % 50 == 7, "x").otherwise(F.col("p")).alias("p")), "p"))
 record_query(
     "rows_runs",
     """, n AS (SELECT *, CASE WHEN lag(p) OVER (ORDER BY row_id) IS DISTINCT FROM p AND row_id > 0 THEN 1 ELSE 0 END AS new FROM b),
     g AS (SELECT *, sum(new) OVER (ORDER BY row_id) AS run FROM n)
     SELECT row_id, run::BIGINT AS run, row_number() OVER (PARTITION BY run ORDER BY row_id) - 1 AS run_pos FROM g""",
-    True,
 )(lambda b: R.runs(b, "p", "row_id").select("row_id", F.col("run").cast("long").alias("run"), F.col("run_pos").cast("long").alias("run_pos")))
 record_query("rows_keep_last", "SELECT c, arg_max(k, row_id) AS k, max(row_id) AS row_id FROM b GROUP BY c")(lambda b: R.keep_last(b.select("c", "k", "row_id"), ["c"], "row_id"))
 record_query(
@@ -71,9 +69,13 @@ record_query(
 record_query("rows_shard", "SELECT row_id FROM b WHERE row_id % 5 = 2 AND c % 2 = 0")(lambda b: b.where("pmod(row_id, 5) = 2").join(b.where("c % 2 = 1").select("row_id"), "row_id", "left_anti").select("row_id"))
 record_query("rows_head_sample", "SELECT row_id, k FROM b WHERE row_id < 25")(lambda b: b.where("row_id < 25").select("row_id", "k"))
 record_query("rows_top_per_group", "SELECT c, k FROM (SELECT c, k, row_number() OVER (PARTITION BY c ORDER BY k DESC) AS i FROM b) WHERE i <= 2")(lambda b: b.withColumn("i", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("k")))).where("i <= 2").select("c", "k"))
-record_query("rows_epochs", "SELECT e * 3 + row_id // 100 AS step, count(*) AS n FROM b, range(2) r(e) WHERE row_id < 300 GROUP BY 1")(
-    lambda b: R.batches(b.where("row_id < 300"), 100, 300).withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(1)))).groupBy((F.col("e") * 3 + F.col("batch")).cast("long").alias("step")).agg(F.count("*").alias("n"))
-)
+
+
+@record_query("rows_epochs", "SELECT e * (((SELECT count(*) FROM b) + 99) // 100) + row_id // 100 AS step, count(*) AS n FROM b, range(2) r(e) GROUP BY 1")
+def rows_epochs(b):
+    """Pages of a hundred rows, all of them in each of two epochs."""
+    n = b.count()
+    return R.batches(b, 100, n).withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(1)))).groupBy((F.col("e") * -(-n // 100) + F.col("batch")).cast("long").alias("step")).agg(F.count("*").alias("n"))
 
 
 @query(

@@ -72,12 +72,12 @@ def report_slowest(spark, sf_dir):
 
 @query(
     "report_metric_sections",
-    """WITH n AS (SELECT event_type AS source, CASE event_id % 4 WHEN 0 THEN 'acc/mean@4' WHEN 1 THEN 'acc/best@8/mean' WHEN 2 THEN 'reward/std@8' ELSE 'reward/mean@8' END AS name FROM events WHERE event_id < 400 GROUP BY ALL)
+    """WITH n AS (SELECT event_type AS source, CASE event_id % 4 WHEN 0 THEN 'acc/mean@4' WHEN 1 THEN 'acc/best@8/mean' WHEN 2 THEN 'reward/std@8' ELSE 'reward/mean@8' END AS name FROM events GROUP BY ALL)
     SELECT source, name, CASE WHEN name = 'acc/best@8/mean' THEN 'val-core' ELSE 'val-aux' END AS section FROM n""",
 )
 def report_metric_sections(spark, sf_dir):
     names = F.element_at(F.array(*map(F.lit, ["acc/mean@4", "acc/best@8/mean", "reward/std@8", "reward/mean@8"])), (F.col("event_id") % 4 + 1).cast("int"))
-    return G.metric_section(table(spark, sf_dir, "events").where("event_id < 400").select(F.col("event_type").alias("source"), names.alias("name")).distinct(), "acc")
+    return G.metric_section(table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), names.alias("name")).distinct(), "acc")
 
 
 @query(
@@ -92,12 +92,12 @@ def report_distillation_fractions(spark, sf_dir):
 
 @query(
     "report_run_prefixes",
-    """WITH n AS (SELECT event_id, event_type, CASE WHEN lag(event_type) OVER (ORDER BY event_id) IS DISTINCT FROM event_type AND event_id > (SELECT min(event_id) FROM events) THEN 1 ELSE 0 END AS new FROM events WHERE event_id < 500),
+    """WITH n AS (SELECT event_id, event_type, CASE WHEN lag(event_type) OVER (ORDER BY event_id) IS DISTINCT FROM event_type AND event_id > (SELECT min(event_id) FROM events) THEN 1 ELSE 0 END AS new FROM events),
     g AS (SELECT *, sum(new) OVER (ORDER BY event_id) AS run FROM n)
     SELECT run::BIGINT AS run, count(*) AS size, arg_min(event_id, event_id) AS prefix, min(event_type) AS event_type FROM g GROUP BY run""",
 )
 def report_run_prefixes(spark, sf_dir):
-    out = G.run_prefixes(table(spark, sf_dir, "events").where("event_id < 500"), "event_type", "event_id", "event_id")
+    out = G.run_prefixes(table(spark, sf_dir, "events"), "event_type", "event_id", "event_id")
     return out.select(F.col("run").cast("long").alias("run"), "size", "prefix", "event_type")
 
 

@@ -14,8 +14,11 @@ from .tables import rounded, table
 
 
 def shared_folder(spark) -> str:
-    """A new folder under spark.checkpoint.dir; under this machine's temporary folder only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{os.path.join(tempfile.gettempdir(), 'streams')}"
+    """A new folder under spark.checkpoint.dir; where that is unset, under this machine's temporary folder if all tasks run here."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or f"file://{os.path.join(tempfile.gettempdir(), 'streams')}"
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
