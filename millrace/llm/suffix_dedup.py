@@ -1,14 +1,12 @@
-"""Operator 5, exact byte dedup with a logarithmic family of suffix indexes.
+"""Operator 5, exact byte dedup with a logarithmic family of suffix arrays.
 
 Removes every byte that a string of `width` bytes covers which also starts anywhere else.
 
-Suffixes are told apart by their first `width` bytes alone, so an index is a sorted array of
-the 64-bit fingerprints of these.  Each chunk of documents is a batch.  An IndexFamily takes
-batch after batch: the batch's sorted suffixes are merge-scanned against all levels, which
-marks the suffixes that both have, and it becomes a level; levels of like size are merged, so
-that there are only logarithmically many and a suffix is moved logarithmically often.
+An IndexFamily (see suffixes) takes batch after batch: a batch's suffixes, each told by its first `width` bytes,
+become a suffix array - the distinct ones in lexicographic order - which is merge-scanned against all levels;
+equal suffixes are marked once their bytes have been compared.  Levels of like size are merged.
 
-Few suffixes get that far:
+The corpus's suffixes are split over such families by key, so that each fits a task:
 
 1. In each window the `gram`-byte string of smallest hash is the window's key.  Equal windows
    have equal keys, and neighbouring windows mostly share theirs, so that a chunk sends 8
@@ -17,13 +15,18 @@ Few suffixes get that far:
 3. For such a key a chunk sends the bytes of its windows (runs of neighbouring windows as one
    string) to the key's part, once if it has them many times.  A key of more than `hot` chunks, as
    of a passage that very many documents share, isn't gathered in one part: its windows go as
-   fingerprints to parts of their own.
-4. A part feeds its chunks' suffixes to an IndexFamily; what is marked goes back to the
-   chunks, as ranges or fingerprints.
-5. Each chunk adds what it finds twice in itself and cuts the bytes.
-
-Null texts are empty; empty and short texts lose nothing.  Rows that repeat a doc_id are rows of their own, so that
-their equal texts remove each other.  A cut may fall inside a character; `kept` is binary.
+   fingerprints of 128 bits to parts of their own.
+4. A part feeds its chunks' suffixes to a family in batches of BATCH bytes; what is marked goes back to
+   the chunks, as ranges or fingerprints.
+5. Each chunk finds with a family of its own what it has twice in itself, and cuts the bytes.
+
+So bytes decide, but for windows of hot keys, where two fingerprints of 64 bits with different bases must agree
+(among 10^14 windows a chance of 10^-11 that any two unlike ones do).  A part whose executor is lost builds its family anew
+from the shuffled strings.
+
+Null texts are empty; empty and short texts lose nothing, and an empty table gives no rows.  A very long text lies in one chunk, and is worked
+on in one task.  Rows that repeat a doc_id are rows of their own, so that their equal texts remove each other.  A cut may fall inside a
+character; `kept` is binary.  Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,19 +39,20 @@ from pyspark.sql import DataFrame
 
 from .common import chunk_count, chunked, part_count
 from .substring_dedup import chunk_of, is_in, pool_of, replies, sorted_docs
+from .suffixes import IndexFamily, Suffixes, byte_loads
 from .textbytes import U, buffer_of, byte_codes, inside, mix, release, split_by
 
 WIDTH, GRAM, HOT = 200, 100, 48
 CHUNK_BYTES = 2 << 20
 #: Bytes of suffixes that enter an index family at once.
-BATCH = 1 << 20
+BATCH = 4 << 20
 SEND = "part int, chunk int, kind int, keys binary, sizes binary, bytes binary"
 REPLY = "chunk int, kind int, keys binary"
 
 
-def prints(buf: np.ndarray, widths: list[int]) -> list[np.ndarray]:
+def prints(buf: np.ndarray, widths: list[int], seed: int = 7, base: int = 0x2545F4914F6CDD1D) -> list[np.ndarray]:
     """Fingerprints of all substrings of each width, by one series of doublings."""
-    power, size, base = byte_codes(7)[buf], 1, 0x2545F4914F6CDD1D
+    power, size = byte_codes(seed)[buf], 1
     out, done = [None] * len(widths), [0] * len(widths)
     while size <= max(widths):
         for i, w in enumerate(widths):
@@ -72,33 +76,16 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - size : width - size + n])
 
 
-class IndexFamily:
-    """Levels of sorted suffixes; add() marks what a new batch shares with itself or any earlier one."""
-
-    def __init__(self, total: int):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        self.shared = np.zeros(total, bool)
-
-    def add(self, keys: np.ndarray, number: int) -> None:
-        """keys: the fingerprints of a batch's suffixes; their marks begin at number."""
-        order = np.argsort(keys)
-        keys, numbers = keys[order], order + number
-        same = keys[1:] == keys[:-1]
-        self.shared[numbers[1:][same]] = True
-        self.shared[numbers[:-1][same]] = True
-        first = np.concatenate([[True], ~same])[: len(keys)]
-        level = (keys[first], numbers[first])
-        for old, theirs in self.levels:
-            at = np.minimum(np.searchsorted(old, level[0]), len(old) - 1)
-            here = old[at] == level[0]
-            self.shared[level[1][here]] = True
-            self.shared[theirs[at[here]]] = True  # if the level has it again, both have been marked before
-        while self.levels and len(self.levels[-1][0]) < 2 * len(level[0]):
-            old = self.levels.pop()
-            merged = np.concatenate([old[0], level[0]])
-            order = np.argsort(merged, kind="stable")
-            level = (merged[order], np.concatenate([old[1], level[1]])[order])
-        self.levels.append(level)
+def twice(h: np.ndarray) -> np.ndarray:
+    """Which values are there twice."""
+    order = np.sort(h)
+    return is_in(h, np.unique(order[1:][order[1:] == order[:-1]]))
+
+
+def pairs(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of fingerprints of 128 bits."""
+    both = np.frombuffer(b"".join(rows), U).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 class Windows:
@@ -122,6 +109,10 @@ class Windows:
         self.size = np.diff(np.append(self.head, len(key)))
         self.key = key[self.head]
 
+    def second(self, of: np.ndarray) -> np.ndarray:
+        """Second fingerprints of some windows."""
+        return prints(self.buf, [self.width], 11, 0x9E3779B97F4A7C15)[0][self.at[of]]
+
     def runs(self, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First and last windows and keys of the runs whose key is in the pool."""
         i = np.flatnonzero(is_in(self.key, pool))
@@ -158,9 +149,10 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int
     def send_suffixes(key, table, reply):
         w = Windows(table, width, gram)
         out = []
-        loose = np.unique(w.hash[np.repeat(is_in(w.key, pool_of(reply, 2)), w.size)])
+        loose = np.flatnonzero(np.repeat(is_in(w.key, pool_of(reply, 2)), w.size))
         if len(loose):
-            out += [(p, chunk_of(key), 1, loose[x].tobytes(), b"", b"") for p, x in split_by(loose, n_parts)]
+            both = np.unique(np.stack([w.hash[loose], w.second(loose)], axis=1), axis=0)
+            out += [(p, chunk_of(key), 1, both[x].tobytes(), b"", b"") for p, x in split_by(both[:, 0], n_parts)]
         a, b, keys = w.runs(pool_of(reply, 0))
         if len(a):
             raw = w.buf.tobytes()
@@ -173,53 +165,74 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int
         return rows_of(out)
 
     def scan(key, table):
-        """Both kinds of suffixes of a part, through a family each; a batch is as many chunks as have BATCH bytes."""
         release()
-        out = []
-        kind = table["kind"].to_numpy()
-        for k in (0, 1):
-            rows = table.filter(pa.array(kind == k)).to_pylist()
-            size = np.array([len(r["bytes"]) + len(r["keys"]) for r in rows], np.int64)
-            batch = (np.cumsum(size) - size) // BATCH
-            batches = [rows[i:j] for i, j in zip(*(np.searchsorted(batch, np.unique(batch), side) for side in ("left", "right")))]
-            family = IndexFamily(int(size.sum()))
-            base, held = 0, []
-            for some in batches:
-                if k:
-                    h = np.concatenate([np.frombuffer(r["keys"], U) for r in some])
-                    held.append((base, len(h), None))
-                else:
-                    off = np.concatenate([[0], np.cumsum(np.concatenate([np.frombuffer(r["sizes"], np.int64) for r in some]))])
-                    buf = np.frombuffer(b"".join(r["bytes"] for r in some), np.uint8)
-                    at = np.flatnonzero(inside(off, width, len(buf)))
-                    h = prints(buf, [width])[0][at]
-                    held.append((base, len(h), (off, at)))
-                family.add(h, base)
-                base += len(h)
-            for some, (n, size, place) in zip(batches, held):
-                i = np.flatnonzero(family.shared[n : n + size])
-                if not len(i):
-                    continue
-                if k:
-                    keys, chunk = np.concatenate([np.frombuffer(r["keys"], U) for r in some]), np.repeat([r["chunk"] for r in some], [len(r["keys"]) // 8 for r in some])
-                    out += [(int(c), 3, keys[i[chunk[i] == c]].tobytes()) for c in np.unique(chunk[i])]
-                    continue
-                off, at = place
-                of = np.searchsorted(off, at[i], side="right") - 1
-                new = np.ones(len(i), bool)
-                new[1:] = (np.diff(at[i]) != 1) | (of[1:] != of[:-1])
-                head = np.flatnonzero(new)
-                found = np.stack([np.concatenate([np.frombuffer(r["keys"], np.int64) for r in some])[of[head]], at[i[head]] - off[of[head]], np.diff(np.append(head, len(i)))]).T
-                chunk = np.repeat([r["chunk"] for r in some], [len(r["sizes"]) // 8 for r in some])[of[head]]
-                out += [(int(c), 1, found[chunk == c].astype(np.int64).tobytes()) for c in np.unique(chunk)]
+        kind, out = table["kind"].to_numpy(), []
+        rows = table.filter(pa.array(kind == 1)).select(["chunk", "keys"]).to_pylist()
+        if rows:
+            a, b = pairs([r["keys"] for r in rows])
+            chunk = np.repeat([r["chunk"] for r in rows], [len(r["keys"]) // 16 for r in rows])
+            order = np.lexsort((b, a))
+            same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+            shared = np.zeros(len(a), bool)
+            shared[order[1:][same]] = shared[order[:-1][same]] = True
+            i = np.flatnonzero(shared)
+            out += [(int(c), 3, np.stack([a[i], b[i]], axis=1)[chunk[i] == c].tobytes()) for c in np.unique(chunk[i])]
+        rows = table.filter(pa.array(kind == 0)).to_pylist()
+        if rows:
+            out += family_scan(rows)
         cols = list(zip(*out)) if out else [[]] * 3
         return pa.table({"chunk": pa.array(list(cols[0]), pa.int32()), "kind": pa.array(list(cols[1]), pa.int32()), "keys": pa.array(list(cols[2]), pa.binary())})
 
+    def family_scan(rows):
+        """Through one family, in batches of BATCH bytes; ranges of marked windows by chunk."""
+        rows.sort(key=lambda r: r["chunk"])
+        sizes = [np.frombuffer(r["sizes"], np.int64) for r in rows]
+        off = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        chunk = np.repeat([r["chunk"] for r in rows], [len(x) for x in sizes])
+        run = np.concatenate([np.frombuffer(r["keys"], np.int64) for r in rows])
+        buf = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
+        rows.clear()
+        codes, offsets = byte_loads(buf, width)
+        marks = np.zeros(len(buf), U)
+        family = IndexFamily(Suffixes(codes, offsets, marks))
+        edges = np.unique(np.searchsorted(off, np.arange(0, len(buf), BATCH)))
+        every = []
+        for i, j in zip(edges, [*edges[1:], len(off) - 1]):
+            some = off[i : j + 1] - off[i]
+            part = buf[off[i] : off[j]]
+            at = np.flatnonzero(inside(some, width, len(part)))
+            marks[off[i] + at] = prints(part, [width])[0][at]
+            every.append(off[i] + at)
+            family.add(every[-1])
+        at = np.concatenate(every)
+        at = at[family.shared[at]]
+        if not len(at):
+            return []
+        of = np.searchsorted(off, at, side="right") - 1
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(at) != 1) | (of[1:] != of[:-1])
+        head = np.flatnonzero(new)
+        found = np.stack([run[of[head]], at[head] - off[of[head]], np.diff(np.append(head, len(at)))]).T.astype(np.int64)
+        by = chunk[of[head]]
+        return [(int(c), 1, found[by == c].tobytes()) for c in np.unique(by)]
+
     def cut(key, table, reply):
         w = Windows(table, width, gram)
-        order = np.sort(w.hash)
-        hit = is_in(w.hash, np.unique(order[1:][order[1:] == order[:-1]]))
-        hit |= is_in(w.hash, pool_of(reply, 3))
+        hit = np.zeros(len(w.at), bool)
+        own = np.flatnonzero(twice(w.hash))
+        if len(own):
+            codes, offsets = byte_loads(w.buf, width)
+            marks = np.zeros(len(w.buf), U)
+            marks[w.at[own]] = w.hash[own]
+            family = IndexFamily(Suffixes(codes, offsets, marks))
+            family.add(w.at[own])
+            hit[own] = family.shared[w.at[own]]
+            del codes, marks, family
+        loose = [x for k, x in zip(reply["kind"].to_pylist(), reply["keys"].to_pylist()) if k == 3]
+        if loose:
+            a, b = pairs(loose)
+            some = np.flatnonzero(is_in(w.hash, np.unique(a)))
+            hit[some] |= is_in(mix(w.hash[some]) + w.second(some), np.unique(mix(a) + b))
         a, _, _ = w.runs(pool_of(reply, 0))
         edge = np.zeros(len(w.at) + 1, np.int64)
         for k, blob in zip(reply["kind"].to_pylist(), reply["keys"].to_pylist()):
