@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import chunk_count, chunked, part_count
-from .substring_dedup import chunk_of, is_in, pool_of, replies, sorted_docs
+from .substring_dedup import chunk_of, is_in, pool_of, shared_keys, sorted_docs
 from .suffixes import IndexFamily, Suffixes, byte_loads
 from .textbytes import U, buffer_of, byte_codes, inside, mix, release, split_by
 
@@ -135,17 +135,6 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int
         keys = np.unique(Windows(table, width, gram, full=False).key)
         return rows_of([(p, chunk_of(key), 0, keys[x].tobytes(), b"", b"") for p, x in (split_by(keys, n_parts) if len(keys) else [])])
 
-    def shared(key, table):
-        blobs = [np.frombuffer(x, U) for x in table["keys"].to_pylist()]
-        keys, chunk = np.concatenate(blobs), np.repeat(table["chunk"].to_numpy(), [len(x) for x in blobs])
-        order = np.argsort(keys, kind="stable")
-        keys, chunk = keys[order], chunk[order]
-        head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        n = np.diff(np.append(head, len(keys)))
-        n = np.repeat(n, n)
-        few, many = (n > 1) & (n <= hot), n > hot
-        return pa.concat_tables([replies(chunk[few], keys[few], 0), replies(chunk[many], keys[many], 2)])
-
     def send_suffixes(key, table, reply):
         w = Windows(table, width, gram)
         out = []
@@ -262,7 +251,7 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int
             "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
         })
 
-    known = by_chunk.applyInArrow(send_keys, SEND).groupBy("part").applyInArrow(shared, REPLY)
+    known = by_chunk.applyInArrow(send_keys, SEND).groupBy("part").applyInArrow(lambda key, table: shared_keys(table, hot), REPLY)
     suffixes = by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(send_suffixes, SEND)
     found = suffixes.groupBy("part").applyInArrow(scan, REPLY).union(known)
     return by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
