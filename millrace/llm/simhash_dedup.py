@@ -10,14 +10,14 @@ which bit that was.  Linked pairs have a signature in common; pairs under a sign
 verified by their number of differing bits.
 
 Copies have one fingerprint and are one row of the index.  Signatures are dealt to parts as
-packed blobs.  A part returns the links that it finds as chains, which connect what is
-linked: never all pairs of a group, and no node with many edges.  Components come from joins
-of these edges.  (The check tool noted tasks of 2129 of 79934 rows on check_h when a part's edges
-met in one node; with chains it notes none.  op6: 159 and 141 CPU seconds a GB.)
-
-Null and empty texts have fingerprint zero and are linked like any other.  Equal rows get
-equal results; a row without doc_id takes part, but is nobody's representative unless its group
-has no doc_id at all.
+packed blobs; there are so many parts that each holds about SIGNATURES_A_PART of them.  A signature of more than
+`block` fingerprints is cut into blocks, and each pair of blocks is compared in a task of its own.  A part returns the links
+that it finds as chains, which connect what is linked: never all pairs of a group, and no node with many
+edges.  Components come from joins of these edges.
+
+Null and empty texts have fingerprint zero and are linked like any other.  A very long text is hashed in one task,
+its bits counted BITS_AT_ONCE shingles at a time.  Equal rows get equal results; an empty table gives no rows.  A row without doc_id takes part, but is nobody's
+representative unless its group has no doc_id at all.  Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from .common import checkpoint, components
 from .textbytes import U, mix, split_by
 
 SHINGLE, DISTANCE, SEED, SEGMENT = 3, 3, 42, 32
+#: Signatures of a part (16 bytes each), fingerprints of one signature that are compared in one task, and signatures of a task.
+SIGNATURES_A_PART, BLOCK, SIGNATURES_A_TASK = 1 << 20, 4096, 1 << 22
 #: Shingles whose bits are counted at once.
 BITS_AT_ONCE = 1 << 16
 
@@ -123,8 +125,26 @@ def chained(nodes: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[order][:-1][next_too], nodes[order][1:][next_too]
 
 
-def near_fingerprints(distinct: DataFrame, parts: int, distance: int = DISTANCE) -> DataFrame:
+def between(a: np.ndarray, b: np.ndarray | None, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the fingerprints of a block, or those of two blocks, which are linked across."""
+    nodes = a if b is None else np.concatenate([a, b])
+    right, shift = (a, 0) if b is None else (b, len(a))
+    root = np.arange(len(nodes))
+    for start in range(0, len(a), 256):
+        some = np.arange(start, min(start + 256, len(a)))
+        near = np.bitwise_count(a[some, None] ^ right[None, :]) <= distance
+        near &= root[some][:, None] != root[shift : shift + len(right)][None, :]
+        x, y = np.nonzero(near)
+        if len(x):
+            root = forest(len(nodes), root[some[x]], root[shift + y])[root]
+    return chained(nodes, root)
+
+
+def near_fingerprints(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """Edges a-b (longs) that connect all linked fingerprints of the column fp, which holds each once."""
+    least = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = distinct.count() * 64
+    parts, tasks = max(least, -(-total // SIGNATURES_A_PART)), max(least, -(-total // SIGNATURES_A_TASK))
 
     def deal(batches):
         for batch in batches:
@@ -137,23 +157,45 @@ def near_fingerprints(distinct: DataFrame, parts: int, distance: int = DISTANCE)
                 )
 
     def verify(table):
+        """Edges, and the blocks of signatures that are too many for one task."""
         keys, fps = (np.frombuffer(b"".join(table[c].to_pylist()), U) for c in ("keys", "fps"))
-        a, b = links(keys, fps, distance)
+        order = np.lexsort((fps, keys))
+        keys, fps = keys[order], fps[order]
+        head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.diff(np.append(head, len(keys)))
+        cold = np.repeat(size <= block, size)
+        a, b = links(keys[cold], fps[cold], distance)
+        blocks = []
+        for start, n in zip(head[size > block].tolist(), size[size > block].tolist()):
+            count = -(-n // block)
+            blocks += [(int(keys[start].view(np.int64)), k, count, fps[start + k : start + n : count].tobytes()) for k in range(count)]
+        none = [None] * len(blocks)
+        cols = list(zip(*blocks)) or [[]] * 4
+        return pa.table({
+            "a": pa.array([*a.view(np.int64).tolist(), *none], pa.int64()), "b": pa.array([*b.view(np.int64).tolist(), *none], pa.int64()),
+            **{c: pa.array([*[None] * len(a), *x], k) for c, x, k in zip(("key", "own", "blocks", "fps"), cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))},
+        })
+
+    def compare(table):
+        sides = [np.frombuffer(x, U) for x in table.sort_by("own")["fps"].to_pylist()]
+        a, b = between(sides[0], sides[1] if len(sides) > 1 else None, distance)
         return pa.table({"a": pa.array(a.view(np.int64), pa.int64()), "b": pa.array(b.view(np.int64), pa.int64())})
 
-    return distinct.select("fp").mapInArrow(deal, "part int, keys binary, fps binary").groupBy("part").applyInArrow(verify, "a long, b long")
+    dealt = distinct.select("fp").repartition(tasks, "fp").mapInArrow(deal, "part int, keys binary, fps binary").repartition(tasks, "part")
+    found = checkpoint(dealt.groupBy("part").applyInArrow(verify, "a long, b long, key long, own int, blocks int, fps binary"))
+    other = found.where("blocks is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = other.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "fps")
+    return found.where("b is not null").select("a", "b").union(pairs.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long"))
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable)."""
-    spark = docs.sparkSession
     rows = checkpoint(fingerprints(docs, shingle))
     one = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # components are found on the smallest ids of fingerprints, so that none is looked up by its component
     own = F.coalesce("first_id", F.lit(2**62) + F.pmod(F.col("fp"), F.lit(2**61)))
     numbered = one.select("fp", own.alias("id"))
-    edges = near_fingerprints(one, parts, distance).withColumnsRenamed({"a": "fp"}).join(numbered, "fp").select("b", F.col("id").alias("a"))
+    edges = near_fingerprints(one, distance).withColumnsRenamed({"a": "fp"}).join(numbered, "fp").select("b", F.col("id").alias("a"))
     edges = edges.withColumnRenamed("b", "fp").join(numbered, "fp").select("a", F.col("id").alias("b"))
     group = components(edges).select(F.col("node").alias("id"), "component")
     smallest = F.coalesce("component", "id")

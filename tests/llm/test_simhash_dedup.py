@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from millrace.llm.common import components
-from millrace.llm.simhash_dedup import links, signatures, simhash_dedup
+from millrace.llm.simhash_dedup import forest, links, near_fingerprints, signatures, simhash_dedup
 
 
 @pytest.mark.parametrize("seed", [0, 1])
@@ -52,3 +52,24 @@ def test_empty_and_nulls(spark):
     got = simhash_dedup(brute.docs(spark, [(4, None), (2, ""), (3, "a"), (None, "a")])).collect()
     assert sorted((r.doc_id or -1, r.component_id) for r in got) == [(-1, 3), (2, 2), (3, 3), (4, 2)]
     assert {r.fingerprint for r in got if r.doc_id in (2, 4)} == {"0" * 16}
+
+
+def test_hot_signature_is_compared_in_many_tasks(spark):
+    """10,000 fingerprints of one lower half, against all pairs."""
+    rnd = np.random.default_rng(8)
+    seeds = rnd.integers(0, 2**32, 2500, np.uint64)
+    flips = (np.uint64(1) << rnd.integers(0, 32, (3, 7500), np.uint64)).astype(np.uint64)
+    near = seeds[rnd.integers(0, 2500, 7500)] ^ flips[0] ^ flips[1] * rnd.integers(0, 2, 7500, np.uint64) ^ flips[2] * rnd.integers(0, 2, 7500, np.uint64)
+    fps = np.unique(np.concatenate([seeds, near]) << np.uint64(32) | np.uint64(0xABCD1234))
+    assert len(fps) > 9000
+    df = spark.createDataFrame([(x,) for x in fps.view(np.int64).tolist()], "fp long")
+    edges = [(r.a, r.b) for r in near_fingerprints(df, block=1000).collect()]
+    root = np.arange(len(fps))
+    for i in range(0, len(fps), 500):
+        a, b = np.nonzero(np.bitwise_count(fps[i : i + 500, None] ^ fps[None, :]) <= 3)
+        root = forest(len(fps), root[a + i], root[b])[root]
+    x, y = (np.searchsorted(fps, np.array(e, np.int64).view(np.uint64)) for e in zip(*edges))
+    got = forest(len(fps), x, y)
+    assert (root[x] == root[y]).all()
+    assert (got == np.unique(root, return_index=True)[1][np.unique(root, return_inverse=True)[1]]).all()
+    assert 1 < len(set(got.tolist())) < len(fps)

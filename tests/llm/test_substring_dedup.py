@@ -39,7 +39,7 @@ def test_equal_windows_have_equal_keys(seed):
         order = np.lexsort((keys, parsed.hash))
         same = parsed.hash[order][1:] == parsed.hash[order][:-1]
         assert same.any() and (keys[order][1:] == keys[order][:-1])[same].all()
-        assert (keys == parsed.hash ^ np.uint64(0x5DEECE66D)).mean() < 0.9
+        assert rounds > 1 or (keys == parsed.hash ^ np.uint64(0x5DEECE66D)).mean() < 0.9
 
 
 def test_words_with_one_hash_have_numbers_of_their_own():
