@@ -53,12 +53,11 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "k", 1) for r in rows], "vec_id long, embedding array<float>, label int, key string, n int")
 
 
-def test_equals_brute_force(spark, monkeypatch):
+def test_equals_brute_force(spark):
     rows = sample(1)
     want = expected(rows, 0.98)
     assert {tuple(r) for r in E.embedding_dedup(frame(spark, rows)).collect()} == want
-    monkeypatch.setattr(E, "BLOCK", 20)  # cuts the crowd into blocks
-    assert {tuple(r) for r in E.embedding_dedup(frame(spark, rows)).collect()} == want
+    assert {tuple(r) for r in E.embedding_dedup(frame(spark, rows), block=20, least_block=10).collect()} == want  # cuts the crowd into blocks
     assert max(r[1] for r in want) > 100
 
 
@@ -68,7 +67,7 @@ def test_recall_of_pairs_at_the_threshold():
         bits, bands = E.band_plan(largest)
         x = rnd.standard_normal((400, 64))
         y = np.array([near(rnd, v, 0.98) for v in x])
-        a, b = (E.band_keys(E.units(v), np.zeros(400, np.int64), bits, bands) for v in (x, y))
+        a, b = (E.band_keys(E.band_values(E.units(v), bits, bands), np.zeros(400, np.int64), 64) for v in (x, y))
         assert (a == b).any(axis=1).mean() > 0.99
 
 
@@ -88,3 +87,23 @@ def test_empty(spark):
     assert E.embedding_dedup(frame(spark, [])).collect() == []
     got = E.embedding_dedup(frame(spark, [(1, None, 1), (2, [1.0, 0.0], 1), (2, [1.0, 0.0], 1)])).collect()
     assert sorted(tuple(r) for r in got) == [(1, 0, 1, True), (2, 1, 2, True), (2, 1, 2, True)]
+
+
+def test_repeated_and_missing_ids(spark):
+    rnd = np.random.default_rng(6)
+    a, b, c = (rnd.standard_normal(64) for _ in range(3))
+    rows = [(5, a), (5, b), (6, near(rnd, a, 0.99)), (None, c), (None, near(rnd, c, 0.99)), (None, near(rnd, b, 0.99)), (7, c * 0)]
+    got = E.embedding_dedup(frame(spark, [(i, [float(v) for v in np.asarray(x, np.float32)], 1) for i, x in rows])).collect()
+    want = [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (None, 1, None, True), (None, 1, None, True), (None, 1, 5, False), (7, 0, 7, True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_recall_against_all_rows(spark):
+    """All partners of every row whose id is divisible by 100 are found, and no others."""
+    rnd = np.random.default_rng(12)
+    centres = rnd.standard_normal((150, 64))
+    x = np.asarray([near(rnd, centres[i % 150], 0.992) for i in range(4000)], np.float32)
+    unit = E.units(x)
+    want = {i: int((unit @ unit[i] >= 0.98).sum()) - 1 for i in range(0, 4000, 100)}
+    got = {r.vec_id: r.n_links for r in E.embedding_dedup(frame(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])).where("vec_id % 100 = 0").collect()}
+    assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.99 * sum(want.values()) > 100
