@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one group of documents holds on average.
@@ -18,14 +19,54 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def col(name: str) -> Column:
+    """The column of exactly that name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """The name, with as many underscores as it takes to be none of those taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def passed_names(columns: list[str], outputs: list[str]) -> list[str]:
+    """Names under which input columns are passed on: one that is called like an output gets "_input" behind it."""
+    out: list[str] = []
+    for c in columns:
+        out.append(free_name([*columns, *outputs, *out], c + "_input") if c.lower() in outputs else c)
+    return out
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir; only where that is unset (tests), a folder of this machine."""
+    """Uses spark.checkpoint.dir; where that is unset, a folder of this machine if all tasks run here (tests), else an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         where = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(where or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own under the checkpoint folder."""
+    ensure_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as compressed Parquet in the shared folder, read again."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     ensure_checkpoints(df.sparkSession)
     return df.checkpoint()

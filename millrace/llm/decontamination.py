@@ -18,7 +18,8 @@ Patterns are broadcast in blocks of at most PATTERN_BYTES of item text.  A large
 is searched block by block: documents pass one block after another, and take along which of
 their words were hit.  Null and empty texts
 have no words, and are never contaminated; items without words have no windows.  A repeated
-item_id counts once.  Equal rows get equal results.
+item_id counts once.  Equal rows get equal results; an empty table gives no rows, and without items nothing is hit.  A very long
+text is searched in one task, in stretches.  Passed columns that are called like an output get "_input" behind their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, col, passed_names
 from .textbytes import U, alnum_split, buffer_of, lower_table, release, words_of
 
 WIDTH, BLOCK, SHARE, PATTERN_BYTES, STRETCH = 13, 2, 20, 16 << 20, 256
@@ -186,14 +187,15 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, s
     blocks = pattern_blocks(benchmark, item_id, "text", block_bytes)
     columns = columns or ["doc_id"]
     n = len(columns)
+    names = passed_names(columns, [x.split()[0] for x in RESULT.split(", ")])
     inner = [f"c{i}" for i in range(n)]
-    kinds = ", ".join(f"{i} {t}" for i, (_, t) in zip(inner, docs.select(*columns).dtypes))
+    kinds = ", ".join(f"{i} {t}" for i, (_, t) in zip(inner, docs.select(*map(col, columns)).dtypes))
     # a text that is passed on isn't sent twice
-    own = columns.index("text") if ("text", "string") in docs.select(*columns).dtypes else n
+    own = columns.index("text") if ("text", "string") in docs.select(*map(col, columns)).dtypes else n
     extra = own == n
     after = n + extra
     between = BETWEEN if extra else BETWEEN.removeprefix("text string, ")
-    rows = docs.select(*(F.col(c).alias(i) for c, i in zip(columns, inner)), *[F.col("text").cast("string").alias("text")] * extra, F.lit(b"").alias("mask"), F.lit(None).cast("array<string>").alias("items"))
+    rows = docs.select(*(col(c).alias(i) for c, i in zip(columns, inner)), *[F.col("text").cast("string").alias("text")] * extra, F.lit(b"").alias("mask"), F.lit(None).cast("array<string>").alias("items"))
     context = docs.sparkSession.sparkContext
 
     def scan(sent, last):
@@ -227,7 +229,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, s
         following = next(blocks, None)
         rows = rows.mapInArrow(scan(context.broadcast(block), following is None), f"{kinds}, {RESULT if following is None else between}")
         if following is None:
-            return rows.withColumnsRenamed(dict(zip(inner, columns)))
+            return rows.withColumnsRenamed(dict(zip(inner, names)))
         block, passed = following, passed + 1
         if passed % 4 == 0:
             rows = checkpoint(rows)

@@ -18,7 +18,6 @@ empty texts are one id, the end.  Rows that repeat a doc_id are documents of the
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from array import array
 
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ensure_checkpoints
+from .common import checkpoint, written
 from .textbytes import U, mix, release
 
 SIZE, END, BITS, AXES, VOCABULARY = 4096, 2, 10, 3, 49_408
@@ -184,14 +183,6 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, kinds)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, read from a compressed table in the shared folder."""
-    ensure_checkpoints(df.sparkSession)
-    folder = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def curve_order(rows: DataFrame) -> DataFrame:
     """row, before: the number of ids before each document along the curve.  rows: row, doc_id, n, x0, x1, x2."""
     axes = [f"x{i}" for i in range(AXES)]
@@ -216,7 +207,7 @@ def curve_order(rows: DataFrame) -> DataFrame:
 
 def packing(docs: DataFrame, size: int = SIZE, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids: ids (16-bit, binary)."""
-    rows = written(tokenized(docs, path).withColumn("row", F.monotonically_increasing_id()))
+    rows = written(tokenized(docs, path).withColumn("row", F.monotonically_increasing_id()), "table")
     order = curve_order(rows)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 

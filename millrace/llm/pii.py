@@ -22,8 +22,8 @@ Matches are consumed from left to right and a failing match isn't tried again fr
 The patterns below are possessive and look behind, so that they take linear time and
 no stack on very long runs; they match the same as the plain ones.
 
-Null and empty texts have no spans.  Equal rows get equal results.  Only `text` is read and the
-named columns are returned, whatever other columns are called.
+Null and empty texts have no spans.  Equal rows get equal results; an empty table gives no rows.  A very long text is scanned in
+one task.  Only `text` is read and the named columns are returned; one that is called `pii` comes out as `pii_input`.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import col, passed_names
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 LOCAL, NAME = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 PATTERNS = {
@@ -60,6 +62,10 @@ CONTEXT = {
 BEFORE = 24
 #: Matches of a text that are walked at once.
 BLOCK = 128
+#: Characters of the stretches that a text is cut into for redaction.
+STRETCH = 512
+#: Spans of a block whose reach is looked up at once.
+SPAN_BLOCK = 512
 FEATURES = {"kind": 5, "regex": 3, "gazetteer": 3, "context": 3, "shape": 3, "length": 4, "left": 3, "right": 3}
 THRESHOLD = 0.5
 
@@ -70,24 +76,30 @@ def matches(text: Column, kind: str) -> Column:
     pattern = PATTERNS[kind]
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
-    def step(acc, x):
-        start = acc["pos"] + F.length(x["gap"])
-        end = start + F.length(x["s"])
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s"), F.right(x["gap"], F.lit(BEFORE)).alias("before"), F.left(x["next"], F.lit(3)).alias("after")))).alias("out"))
+    # places are sums of lengths: of the blocks of matches before, and within the block; each array is bound once, by a
+    # transform over a single element
+    sum_of = lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n)
+    sizes = lambda block: F.transform(block, lambda m: F.length(m["gap"]) + F.length(m["s"]))
+
+    def cut(x):
+        last = F.floor((F.size(x["s"]) - 1) / BLOCK).cast("int")
+        one = lambda b: F.transform(F.slice(x["s"], b * BLOCK + 1, BLOCK), lambda m, k: F.struct(m.alias("s"), x["g"][b * BLOCK + k].alias("gap"), x["g"][b * BLOCK + k + 1].alias("next")))
+        return F.when(F.size(x["s"]) > 0, F.transform(F.sequence(F.lit(0), last), one))
+
+    def located(y):
+        def block(ms, b):
+            z = F.struct(ms.alias("ms"), sizes(ms).alias("sizes"), sum_of(F.slice(y["totals"], 1, b)).alias("before"))
+            return F.transform(F.array(z), lambda v: F.transform(v["ms"], lambda m, k: match(m, v["before"] + sum_of(F.slice(v["sizes"], 1, k)) + F.length(m["gap"]))))[0]
 
-    # arrays are copied whenever they grow, so matches are walked in blocks, and blocks are then put one behind another
-    kind_of = "array<struct<start:int,end:int,s:string,before:string,after:string>>"
-    none, empty = F.array().cast(kind_of), F.array().cast(f"array<{kind_of}>")
-    n = F.greatest(F.size(found), F.lit(0))
-    pairs = F.arrays_zip(found.alias("s"), F.slice(gaps, 1, n).alias("gap"), F.slice(gaps, 2, n).alias("next"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda b: F.slice(pairs, b * BLOCK + 1, BLOCK))
-    each = F.transform(blocks, lambda block: F.aggregate(block, F.struct(F.lit(0).alias("pos"), none.alias("out")), step))
+        return F.flatten(F.transform(y["blocks"], block))
 
-    def place(acc, block):
-        moved = F.transform(block["out"], lambda m: F.struct((m["start"] + acc["pos"]).alias("start"), (m["end"] + acc["pos"]).alias("end"), m["s"].alias("s"), m["before"].alias("before"), m["after"].alias("after")))
-        return F.struct((acc["pos"] + block["pos"]).alias("pos"), F.concat(acc["out"], F.array(moved)).alias("out"))
+    def match(m, start):
+        return F.struct(start.alias("start"), (start + F.length(m["s"])).alias("end"), m["s"].alias("s"), F.right(m["gap"], F.lit(BEFORE)).alias("before"), F.left(m["next"], F.lit(3)).alias("after"))
 
-    walked = F.when(F.size(pairs) > 0, F.aggregate(each, F.struct(F.lit(0).alias("pos"), empty.alias("out")), place, lambda acc: F.flatten(acc["out"]))).otherwise(none)
+    none = F.array().cast("array<struct<start:int,end:int,s:string,before:string,after:string>>")
+    blocks = F.transform(F.array(F.struct(found.alias("s"), gaps.alias("g"))), cut)
+    bound = F.transform(blocks, lambda x: F.struct(x.alias("blocks"), F.transform(x, lambda ms: sum_of(sizes(ms))).alias("totals")))
+    walked = F.coalesce(F.transform(bound, located)[0], none)
     hint = text.contains(HINTS[kind]) if kind in HINTS else F.rlike(text, F.lit(pattern))
     return F.when(hint, walked).otherwise(none)
 
@@ -235,21 +247,45 @@ def written_out(spans: Column) -> Column:
 def find_pii(docs: DataFrame, weights: np.ndarray | None = None, columns: list[str] | None = None) -> DataFrame:
     """The given columns (doc_id), then pii: array<struct<start, kind, end, base>> by start and kind."""
     weights = train(docs) if weights is None else weights
-    return docs.select(*(columns or ["doc_id"]), chosen(F.coalesce(F.col("text").cast("string"), F.lit("")), weights).alias("pii"))
+    columns = columns or ["doc_id"]
+    kept = [col(c).alias(n) for c, n in zip(columns, passed_names(columns, ["pii"]))]
+    return docs.select(*kept, chosen(F.coalesce(F.col("text").cast("string"), F.lit("")), weights).alias("pii"))
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with [KIND] in place of each span; of overlapping spans the first names them."""
-    kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+def pieces(text: Column) -> tuple:
+    """A function (first, last) -> text between two positions that looks at the stretches of STRETCH characters there alone."""
+    stretches = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
 
-    def step(acc, c):
-        gap = F.substring(text, acc["pos"] + 1, F.greatest(c["start"] - acc["pos"], F.lit(0)))
-        mark = F.when(c["start"] >= acc["pos"], F.concat(gap, F.element_at(kinds, c["kind"] + 1))).otherwise("")
-        return F.struct(F.greatest(c["end"], acc["pos"]).alias("pos"), F.concat(acc["out"], mark).alias("out"))
+    def between(all_, first: Column, last: Column) -> Column:
+        at = F.floor(first / STRETCH).cast("int")
+        some = F.slice(all_, at + 1, F.floor((last - 1) / STRETCH).cast("int") - at + 1)
+        return F.when(last > first, F.substring(F.array_join(some, ""), first - at * STRETCH + 1, last - first)).otherwise("")
 
-    tail = lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text)))
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, tail)
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return stretches, between
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with [KIND] in place of each span; of overlapping spans the first names them.
+
+    How far the spans before each reach comes from maxima of blocks and within its block; what stands between spans is cut
+    from stretches of the text and joined once.  So the cost is in proportion to the text and its spans."""
+    kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    stretches, between = pieces(text)
+    reach = lambda x: F.coalesce(F.array_max(F.transform(x, lambda c: c["end"])), F.lit(0))
+
+    def placed(block, before):
+        ends = F.transform(block, lambda c: c["end"])
+        return F.transform(block, lambda c, j: F.struct(F.greatest(before, F.coalesce(F.array_max(F.slice(ends, 1, j)), F.lit(0))).alias("pos"), c["start"].alias("start"), c["kind"].alias("kind")))
+
+    def joined(x):
+        every = F.flatten(F.transform(x["blocks"], lambda block, b: placed(block, F.coalesce(F.array_max(F.slice(x["tops"], 1, b)), F.lit(0)))))
+        marks = F.transform(F.filter(every, lambda c: c["start"] >= c["pos"]), lambda c: F.concat(between(x["all"], c["pos"], c["start"]), F.element_at(kinds, c["kind"] + 1)))
+        return F.concat(F.array_join(marks, ""), between(x["all"], F.array_max(x["tops"]), x["n"]))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / SPAN_BLOCK).cast("int")), lambda b: F.slice(spans, b * SPAN_BLOCK + 1, SPAN_BLOCK))
+    # blocks, their reach and the stretches are bound by transforms over a single element, so that they are evaluated once
+    bound = F.transform(F.array(blocks), lambda x: F.struct(x.alias("blocks"), F.transform(x, reach).alias("tops"), stretches.alias("all"), F.length(text).alias("n")))
+    return F.when(F.size(spans) > 0, F.transform(bound, joined)[0]).otherwise(text)
 
 
 def op1_pii(spark, sf_dir) -> DataFrame:

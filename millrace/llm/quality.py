@@ -12,7 +12,8 @@ features, not their texts, go to one task, which returns the weights; weights of
 fewer than LEAST_DOCS sampled documents are zero.  Scoring reads each document once,
 without a shuffle.
 
-Null and empty texts have no words and get the score of their shares alone.  Labels that
+Null and empty texts have no words and get the score of their shares alone; a very long one is read in one task.  Of rows that repeat a doc_id one is
+learnt from; all are judged, equal rows alike.  An empty table gives no rows.  Passed columns that are called like an output get "_input" behind their names.  Labels that
 are null are passed over; of several labels of a document the worst grade counts.  Without
 any usable label all documents get grade 1 with probability 1/3 each way and are kept.
 """
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import col, passed_names
 from .textbytes import U, alnum_split, buffer_of, lower_table, mix, release, space_split, words_of
 
 BITS, SAMPLE_ROWS, LEAST_DOCS, EPOCHS, RATE, RIDGE, GRADES, KEEP = 18, 19_000, 12, 200, 0.15, 2.0, 3, 0.5
@@ -150,13 +152,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
                 at = np.searchsorted(d, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array([f[s:e].astype(np.int32).tobytes() for s, e in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], ["doc_id", "grade", "features"])
 
-    def learnt(table):  # at most sample_rows rows
+    def learnt(table):  # a row for each of at most sample_rows ids
         table = table.sort_by([("doc_id", "ascending"), ("features", "ascending")])  # one order on every run
         found = [np.frombuffer(x, np.int32) for x in table["features"].to_pylist()]
         model = train(np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate(found).astype(np.int64), table["grade"].to_numpy().astype(np.int64))
         return pa.table({"weights": pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), "thresholds": pa.array([model.thresholds.tobytes()], pa.binary())})
 
     table = rows.select("doc_id", "text", "grade").mapInArrow(featured, "doc_id long, grade int, features binary")
+    # of rows that repeat an id one is learnt from; the smallest, so that it is the same on every run
+    table = table.groupBy("doc_id").agg(F.min(F.struct("features", "grade")).alias("r")).select("doc_id", "r.grade", "r.features")
     got = table.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(learnt, "weights binary, thresholds binary").collect()  # one row of a fixed size
     if not got:
         none = np.zeros(0, np.int64)
@@ -167,12 +171,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 def score(docs: DataFrame, model: Model, keep: float = KEEP, columns: list[str] | None = None) -> DataFrame:
     """The given columns (doc_id), then expected_grade, tail_prob (of grade 2) and kept."""
     spark, columns = docs.sparkSession, columns or ["doc_id"]
+    names = passed_names(columns, ["expected_grade", "tail_prob", "kept"])
     sent = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
     trained = bool(np.any(model.weights))
     inner = [f"c{i}" for i in range(len(columns))]
     # a text that is passed on isn't sent twice
-    place = columns.index("text") if ("text", "string") in docs.select(*columns).dtypes else len(columns)
-    rows = docs.select(*(F.col(c).alias(i) for c, i in zip(columns, inner)), *[F.col("text").cast("string").alias("text")] * (place == len(columns)))
+    place = columns.index("text") if ("text", "string") in docs.select(*map(col, columns)).dtypes else len(columns)
+    rows = docs.select(*(col(c).alias(i) for c, i in zip(columns, inner)), *[F.col("text").cast("string").alias("text")] * (place == len(columns)))
 
     def each(batches):
         weights, thresholds = sent.value
@@ -184,9 +189,9 @@ def score(docs: DataFrame, model: Model, keep: float = KEEP, columns: list[str]
                 arrays = [batch.column(i)[a:b] for i in range(len(inner))]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(p @ np.arange(GRADES)), pa.array(p[:, -1]), pa.array((p[:, -1] >= keep) | (not trained))], [*inner, "expected_grade", "tail_prob", "kept"])
 
-    kinds = ", ".join(f"{i} {t}" for i, (_, t) in zip(inner, docs.select(*columns).dtypes))
+    kinds = ", ".join(f"{i} {t}" for i, (_, t) in zip(inner, docs.select(*map(col, columns)).dtypes))
     out = rows.mapInArrow(each, f"{kinds}, expected_grade double, tail_prob double, kept boolean")
-    return out.withColumnsRenamed(dict(zip(inner, columns)))
+    return out.withColumnsRenamed(dict(zip(inner, names)))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, keep: float = KEEP, columns: list[str] | None = None) -> DataFrame:

@@ -1,7 +1,8 @@
 """Operator 10, URL filters, with DataFrame functions only.
 
-Each URL is expanded into expressions host-suffix + path-prefix: the suffixes of its host at
-label boundaries, and the prefixes of its path of those lengths that rules have.  Expressions
+Each URL is expanded into expressions host-suffix + path-prefix: the suffixes of its host of those numbers
+of labels that rules have, and the prefixes of its path of those lengths that rules have, so that a very long
+URL has no more expressions than a short one.  Expressions
 meet rules in an equi-join on the first PREFIX hexadecimal digits of their SHA-256; the full
 digest confirms.  Of the rules that fit a URL the longest wins (host and path together; of
 two as long, the one with the longer host, then `block`).
@@ -12,14 +13,18 @@ only while there are at most BROADCAST_RULES of them (about 20 MB); beyond that
 left to Spark.
 
 host and path are empty for a null url and one without "://".  Equal rows get equal
-results.  Columns of pages other than the id and the url are ignored.
+results; rows without an id are judged like any other; an empty table gives no rows.  Columns of pages other than the id
+and the url are ignored, whatever their names.  Of rules, those with a null host or path are passed over; without any rule
+all URLs get the default verdict.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import col
+
 PREFIX, BROADCAST_RULES, DEFAULT = 8, 100_000, "allow"
 
 #: The rules of the query: (host, path, verdict).
@@ -42,19 +47,22 @@ def host_and_path(url) -> tuple:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
+def labels_of(host) -> Column:
+    return F.length(host) - F.length(F.replace(F.col(host), F.lit("."), F.lit(""))) + 1
+
+
 def url_filters(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = DEFAULT) -> DataFrame:
     """page_id, host, path, rule (null: none fits), verdict."""
     rules = rules.where("host is not null and path is not null").select(
-        F.concat("host", "path").alias("rule"), F.col("verdict").alias("rule_verdict"), F.length("host").alias("rule_host"), F.length("path").alias("rule_path")
+        F.concat("host", "path").alias("rule"), F.col("verdict").alias("rule_verdict"), F.length("host").alias("rule_host"), F.length("path").alias("rule_path"), labels_of("host").alias("rule_labels")
     ).withColumn("rule_digest", F.sha2("rule", 256)).withColumn("rule_prefix", F.substring("rule_digest", 1, PREFIX))
-    size, lengths = rules.agg(F.count("*"), F.sort_array(F.collect_set("rule_path"))).first()  # lengths: at most as many as a URL is long
+    size, lengths, depths = rules.agg(F.count("*"), F.sort_array(F.collect_set("rule_path")), F.sort_array(F.collect_set("rule_labels"))).first()  # at most as many as a URL is long
     if size <= BROADCAST_RULES:
         rules = F.broadcast(rules)
 
-    host, path = host_and_path(F.col(url))
-    rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    labels = F.split("host", r"\.", -1)
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    host, path = host_and_path(col(url))
+    rows = pages.select(col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
+    hosts = F.array_compact(F.array(*[F.when(labels_of("host") >= n, F.substring_index("host", ".", -n)) for n in depths])) if depths else F.array().cast("array<string>")
     paths = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     expressions = (
         rows.select("host", "path").where("host <> ''").distinct()

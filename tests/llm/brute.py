@@ -78,6 +78,16 @@ def simhash(rows, shingle=3, distance=3):
     return prints, reach([i for i, _ in prints], [(a[0], b[0]) for k, a in enumerate(prints) for b in prints[:k] if bin(a[1] ^ b[1]).count("1") <= distance])
 
 
+def similar(rows, shingle=5):
+    """Pairs of ids whose sets of word shingles have a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for i, t in rows:
+        w = re.findall(SPACE, "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        grams = {tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)} if w else set()
+        sets.append((i, grams))
+    return [(i, j) for k, (i, a) in enumerate(sets) for j, b in sets[:k] if a and b and 5 * len(a & b) >= 4 * len(a | b)]
+
+
 def reach(nodes, edges):
     """The smallest node that each reaches."""
     low = {n: n for n in nodes}

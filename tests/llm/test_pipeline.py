@@ -21,7 +21,9 @@ def test_stages_on_the_small_table(spark):
     one = C.near_dedup(spark, good, DATA).cache()
     rows = [(r.doc_id, r.text) for r in good.collect()]
     _, low = brute.simhash(rows)
-    assert columns(one) == shape and {r.doc_id for r in one.collect()} == {i for i, m in low.items() if i == m}
+    rest = [r for r in rows if low[r[0]] == r[0]]
+    near = brute.reach([i for i, _ in rest], brute.similar(rest))
+    assert columns(one) == shape and {r.doc_id for r in one.collect()} == {i for i, m in near.items() if i == m}
 
     clean = C.decontaminate(spark, one, DATA).cache()
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
@@ -39,12 +41,31 @@ def test_stages_on_the_small_table(spark):
     assert {r.doc_id for r in packed} == {r.doc_id for r in hidden.collect()}
 
 
-def test_odd_rows(spark):
-    docs = spark.createDataFrame([(1, "a b", 1), (1, "a b", 1), (None, "a b", 2), (2, None, 3), (3, "", 4)], "doc_id long, text string, kept int")
-    out = C.near_dedup(spark, docs, DATA)
-    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "a b", 1), (None, "a b", 2), (2, None, 3)], key=str)
-    assert columns(C.hide_pii(spark, docs, DATA)) == columns(docs)
-    assert C.decontaminate(spark, docs, DATA).count() == 5
+OUTPUTS = ["kept", "tail_prob", "expected_grade", "contaminated", "n_words", "n_hit", "pii", "row", "component", "component_id", "fingerprint", "c0", "c2", "id", "a.b", "x`y"]
+
+
+def odd(spark):
+    """Rows that repeat ids, nulls, empties, and columns called like everything the operators return."""
+    rows = [(1, "a b"), (1, "a b"), (1, "something else entirely"), (None, "a b"), (None, "only here without an id"), (2, None), (3, "")]
+    kinds = "doc_id long, text string, n_chars int, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in OUTPUTS)
+    return spark.createDataFrame([(i, t, -1, *["z"] * len(OUTPUTS)) for i, t in rows], kinds)
+
+
+def test_near_dedup_keeps_unlike_texts_of_one_id_and_one_of_equal_rows(spark):
+    got = [(r.doc_id, r.text) for r in C.near_dedup(spark, odd(spark), DATA).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a b"), (1, "something else entirely"), (None, "only here without an id"), (2, None)], key=str)
+
+
+@pytest.mark.parametrize("stage", [s for _, s in C.STAGES[:-1]])
+def test_clashing_and_dotted_columns(spark, stage):
+    docs = odd(spark)
+    out = stage(spark, docs, DATA)
+    assert columns(out) == columns(docs) and out.count() > 0
+    assert all(r[-1] == "z" and r.kept == "z" and r.n_chars == -1 for r in out.collect())
+
+
+def test_packing_of_odd_rows(spark):
+    assert {r.doc_id for r in C.pack(spark, odd(spark), DATA).collect()} == {1, 2, 3, None}
 
 
 @pytest.mark.parametrize("stage", [s for _, s in C.STAGES])
