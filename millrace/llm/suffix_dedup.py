@@ -18,9 +18,9 @@ The corpus's suffixes are split over such families by key, so that each fits a t
    fingerprints of 128 bits to parts of their own.
 4. A part feeds its chunks' suffixes to a family in batches of BATCH bytes; what is marked goes back to
    the chunks, as ranges or fingerprints.
-5. Each chunk finds with a family of its own what it has twice in itself, and cuts the bytes.
+5. Each chunk compares what it has twice in itself in the same way, and cuts the bytes.
 
-So bytes decide, but for windows of hot keys, where two fingerprints of 64 bits with different bases must agree
+So bytes decide, but for windows of hot keys, where two fingerprints of 64 bits, of the window and of its two halves, must agree
 (among 10^14 windows a chance of 10^-11 that any two unlike ones do).  A part whose executor is lost builds its family anew
 from the shuffled strings.
 
@@ -32,6 +32,7 @@ character; `kept` is binary.  Columns other than doc_id and text are ignored, wh
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ from pyspark.sql import DataFrame
 
 from .common import chunk_count, chunked, part_count
 from .substring_dedup import chunk_of, is_in, pool_of, shared_keys, sorted_docs
-from .suffixes import IndexFamily, Suffixes, byte_loads
-from .textbytes import U, buffer_of, byte_codes, inside, mix, release, split_by
+from .suffixes import IndexFamily, Suffixes, byte_loads, ordered
+from .textbytes import U, buffer_of, byte_codes, inside, mix, powers, release, split_by
 
 WIDTH, GRAM, HOT = 200, 100, 48
 CHUNK_BYTES = 2 << 20
@@ -50,20 +51,28 @@ SEND = "part int, chunk int, kind int, keys binary, sizes binary, bytes binary"
 REPLY = "chunk int, kind int, keys binary"
 
 
-def prints(buf: np.ndarray, widths: list[int], seed: int = 7, base: int = 0x2545F4914F6CDD1D) -> list[np.ndarray]:
-    """Fingerprints of all substrings of each width, by one series of doublings."""
-    power, size = byte_codes(seed)[buf], 1
-    out, done = [None] * len(widths), [0] * len(widths)
-    while size <= max(widths):
-        for i, w in enumerate(widths):
-            if w & size:
-                out[i] = power if out[i] is None else out[i][: max(0, len(power) - done[i])] * U(base) + power[done[i] :]
-                done[i] += size
-        if size * 2 <= max(widths):
-            power = power[: max(0, len(power) - size)] * U(base) + power[size:]
-        base = base * base & (2**64 - 1)
-        size *= 2
-    return [mix(x[: max(0, len(buf) - w + 1)]) for x, w in zip(out, widths)]
+BASE, AT_ONCE = 0x2545F4914F6CDD1D, 1 << 20
+
+
+@cache
+def base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse modulo 2**64."""
+    return powers(BASE, n), powers(pow(BASE, -1, 2**64), n)
+
+
+def prints(buf: np.ndarray, widths: list[int]) -> list[np.ndarray]:
+    """Fingerprints of all substrings of each width, as differences of running sums."""
+    up, down = base_powers(AT_ONCE + max(widths))
+    out = [np.zeros(max(0, len(buf) - w + 1), U) for w in widths]
+    code = byte_codes(7)
+    for s in range(0, len(buf), AT_ONCE):
+        part = buf[s : s + AT_ONCE + max(widths) - 1]
+        total = np.concatenate([np.zeros(1, U), np.cumsum(code[part] * up[: len(part)], dtype=U)])
+        for x, w in zip(out, widths):
+            n = min(AT_ONCE, len(part) - w + 1)
+            if n > 0:
+                x[s : s + n] = mix((total[w : w + n] - total[:n]) * down[:n])
+    return out
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -93,7 +102,7 @@ class Windows:
 
     def __init__(self, table: pa.Table, width: int, gram: int, full: bool = True):
         release()
-        self.width, self.docs = width, sorted_docs(table)
+        self.width, self.gram, self.docs = width, gram, sorted_docs(table)
         self.buf, self.off = buffer_of(self.docs["text"])
         self.at = np.flatnonzero(inside(self.off, width, len(self.buf)))
         if full:
@@ -102,6 +111,7 @@ class Windows:
         else:
             small = prints(self.buf, [gram])[0]
         key = sliding_min(small, width - gram + 1)[self.at]
+        self.small = small if full else None
         new = np.ones(len(key), bool)
         new[1:] = (np.diff(self.at) != 1) | (key[1:] != key[:-1])
         #: Runs of neighbouring windows of one key: their first windows, lengths and keys.
@@ -110,8 +120,9 @@ class Windows:
         self.key = key[self.head]
 
     def second(self, of: np.ndarray) -> np.ndarray:
-        """Second fingerprints of some windows."""
-        return prints(self.buf, [self.width], 11, 0x9E3779B97F4A7C15)[0][self.at[of]]
+        """Second fingerprints of some windows, from those of their first and last `gram` bytes."""
+        at = self.at[of]
+        return mix(self.small[at] * U(0x9E3779B97F4A7C15) + self.small[at + self.width - self.gram])
 
     def runs(self, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First and last windows and keys of the runs whose key is in the pool."""
@@ -140,7 +151,8 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int
         out = []
         loose = np.flatnonzero(np.repeat(is_in(w.key, pool_of(reply, 2)), w.size))
         if len(loose):
-            both = np.unique(np.stack([w.hash[loose], w.second(loose)], axis=1), axis=0)
+            both = np.stack([w.hash[loose], w.second(loose)], axis=1)[ordered(w.hash[loose])]
+            both = both[np.concatenate([[True], (both[1:] != both[:-1]).any(axis=1)])]
             out += [(p, chunk_of(key), 1, both[x].tobytes(), b"", b"") for p, x in split_by(both[:, 0], n_parts)]
         a, b, keys = w.runs(pool_of(reply, 0))
         if len(a):
@@ -214,7 +226,7 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int
             marks = np.zeros(len(w.buf), U)
             marks[w.at[own]] = w.hash[own]
             family = IndexFamily(Suffixes(codes, offsets, marks))
-            family.add(w.at[own])
+            family.distinct(w.at[own])
             hit[own] = family.shared[w.at[own]]
             del codes, marks, family
         loose = [x for k, x in zip(reply["kind"].to_pylist(), reply["keys"].to_pylist()) if k == 3]
