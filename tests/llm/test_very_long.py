@@ -44,7 +44,8 @@ def test_a_hundred_thousand_spans(spark):
     assert time.perf_counter() - start < 20
 
 
-def test_finding_two_thousand_spans(spark):
-    text = "".join(f"u{i % 10}@b{i % 7}.de xx " for i in range(2000))
+@pytest.mark.parametrize("n", [2000, 30_000])
+def test_finding_many_spans(spark, n):
+    text = "".join(f"u{i % 10}@b{i % 7}.de xx " for i in range(n))
     got = find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert [(c.start, c.kind, c.end) for c in got.pii if c.base] == brute.pii(text)
