@@ -302,6 +302,23 @@ def without_tool_calls(x) -> Column:
     return F.regexp_replace(text(x), r"(?s)<tool_call>.*?</tool_call>", "")
 
 
+# The marks of the channel format's thoughts and calls.
+THOUGHT = r"(?s)(<\|start\|>assistant)?<\|channel\|>analysis<\|message\|>.*?<\|end\|>"
+CALL = r"(?s)<\|start\|>assistant<\|channel\|>[^<]* to=functions\.([^<]+) <\|constrain\|>json<\|message\|>(.*?)<\|call\|>"
+
+
+def channel_calls(x) -> Column:
+    """array<struct<name, arguments>> of the calls outside thoughts; arguments as they are, JSON or not."""
+    said = F.regexp_replace(text(x), THOUGHT, "")
+    names, arguments = (F.regexp_extract_all(said, F.lit(CALL), F.lit(i)) for i in (1, 2))
+    return F.arrays_zip(names.alias("name"), arguments.alias("arguments"))
+
+
+def without_channel_calls(x) -> Column:
+    """The text without thoughts and calls."""
+    return F.regexp_replace(F.regexp_replace(text(x), THOUGHT, ""), CALL, "")
+
+
 def passages(titles, bodies) -> Column:
     """"Doc i (Title: t)" and the passage, each on its line."""
     z = F.arrays_zip(col(titles).alias("t"), col(bodies).alias("b"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def differencing(lengths: list[int], k: int, equal_size: bool = False) -> list[list[int]]:
@@ -100,3 +101,26 @@ def micro_batches(df: DataFrame, batch: str, row: str, length: str, most_tokens:
     kinds = dict(df.dtypes)
     rows = df.selectExpr(f"`{batch}` AS _batch", f"`{row}` AS _row", f"CAST(`{length}` AS LONG) AS _length")
     return rows.groupBy("_batch").applyInPandas(each, f"`{batch}` {kinds[batch]}, `{row}` {kinds[row]}, part int")
+
+
+def grouped_parts(df: DataFrame, batch: str, group: str, length: str, k: int) -> DataFrame:
+    """df with part: a batch's groups are balanced by their summed lengths and stay whole.  Groups aren't null; a batch
+    of fewer groups than parts leaves parts empty."""
+    whole = F.coalesce(F.col(group), F.raise_error(F.lit("a row without a group")).cast(dict(df.dtypes)[group]))
+    rows = df.withColumn(group, whole)
+    sums = rows.groupBy(batch, group).agg(F.sum(F.col(length).cast("long")).alias("_sum"))
+    return rows.join(balanced_parts(sums, batch, group, "_sum", k), [batch, group])
+
+
+def interleaved(df: DataFrame, batch: str, part: str, row: str, length: str) -> DataFrame:
+    """df with new_pos, a row's place in its batch: part after part, and in a part from short to long and back to short."""
+    by = Window.partitionBy(batch, part).orderBy(length, row)
+    rank, n = F.row_number().over(by) - 1, F.count("*").over(Window.partitionBy(batch, part))
+    place = F.when(F.col("_rank") % 2 == 0, F.expr("_rank div 2")).otherwise(F.col("_n") - 1 - F.expr("_rank div 2"))
+    rows = df.withColumn("_rank", rank.cast("long")).withColumn("_n", n).withColumn("_place", place)
+    return rows.withColumn("new_pos", F.row_number().over(Window.partitionBy(batch).orderBy(part, "_place")).cast("long") - 1).drop("_rank", "_n", "_place")
+
+
+def restored(results: DataFrame, places: DataFrame, batch: str, row: str) -> DataFrame:
+    """Results by batch and new_pos get back the row that `interleaved` put there."""
+    return results.join(places.select(batch, "new_pos", row), [batch, "new_pos"]).drop("new_pos")

@@ -122,6 +122,38 @@ def rejection_metrics(df: DataFrame, options: list[str], thresholds) -> DataFram
     return rows.agg(gone.alias("masked_fraction"), F.avg(F.when(F.col("seq_kept"), 0.0).otherwise(1.0)).alias("seq_masked_fraction"))
 
 
+def option_metrics(df: DataFrame, options: list[str], thresholds) -> DataFrame:
+    """One row an option: mean, extremes, deviation (within the bounds) and shares beyond the bounds of its statistic, by
+    token or, for sequence options, by sequences with tokens, and the same by sequence (seq_*).  k1's bounds are logarithms; others
+    have no lower one.  A batch without tokens is refused."""
+    bounds = parse_thresholds(options, thresholds)
+    rows, out = ratio(df).withColumn("_n", S.count_mask("mask")), []
+    for i, option in enumerate(options):
+        x, by_token = statistic(option)
+        rows = rows.withColumn(f"_x{i}", S.compact(x, "mask") if by_token else F.array_repeat(x, F.col("_n").cast("int"))).withColumn(f"_s{i}", F.when(F.col("_n") > 0, S.masked_mean(x, "mask") if by_token else x))
+    total = F.sum("_n").cast("double")
+    refused = F.raise_error(F.lit("a batch without tokens")).cast("double")
+    for i, option in enumerate(options):
+        lower, upper = (None if b is None else math.log(b) if option.endswith("k1") else b for b in bounds[option])
+        tokens, s, by_token = F.col(f"_x{i}"), F.col(f"_s{i}"), option in TOKEN_OPTIONS
+        mean = lambda f: F.sum(F.aggregate(F.transform(tokens, f), F.lit(0.0), lambda a, b: a + b)) / total  # noqa: B023, E731
+        share = lambda c: F.avg(c.cast("double"))
+        clamp = lambda v: S.clip(v, 0.0 if lower is None else lower, upper)  # noqa: B023, E731
+        below = (lambda v: v < lower) if lower is not None else (lambda v: F.lit(False))  # noqa: B023
+        flag = lambda test: mean(lambda v: test(v).cast("double"))  # noqa: B023, E731
+        variance = mean(lambda v: clamp(v) * clamp(v)) - mean(clamp) ** 2  # noqa: B023
+        low, high = share(F.when(s.isNotNull(), below(s))), share(s > upper)
+        out.append(F.struct(
+            F.lit(option).alias("option"), F.when(F.coalesce(total, F.lit(0.0)) > 0, mean(lambda v: v)).otherwise(refused).alias("mean"),
+            (F.max(F.array_max(tokens)) if by_token else F.max(s)).alias("max"), (F.min(F.array_min(tokens)) if by_token else F.min(s)).alias("min"),
+            F.when(total > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).otherwise(0.0).alias("std"),
+            (flag(lambda v: v > upper) if by_token else high).alias("fraction_high"), (flag(below) if by_token else low).alias("fraction_low"),  # noqa: B023
+            F.avg(s).alias("seq_mean"), F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("seq_std"), F.max(s).alias("seq_max"), F.min(s).alias("seq_min"),
+            F.max(F.abs(s)).alias("seq_max_deviation"), high.alias("seq_fraction_high"), low.alias("seq_fraction_low"),
+        ))
+    return rows.agg(F.array(*out).alias("_o")).select(F.explode("_o").alias("_o")).select("_o.*")
+
+
 def weight_metrics(df: DataFrame, level: str, threshold: float) -> DataFrame:
     """Mean, extremes, deviation, effective sample size and shares of weights before the cut, by token and sequence."""
     rows = importance_weights(df, level, threshold)

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import accuracy, estimators, grades, records, reports, samples, sampling, streams, texts, training  # noqa: E402,F401  (they register their queries)
+from . import accuracy, estimators, grades, records, reports, rewards, samples, sampling, streams, texts, training, validation  # noqa: E402,F401  (they register their queries)
