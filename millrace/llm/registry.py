@@ -6,6 +6,7 @@ from .chat_format import OP8_SQL, op8_chat_format
 from .decontamination import OP9_SQL, op9_decontamination
 from .embedding_dedup import OP2_SQL, op2_embedding_dedup
 from .packing import op4_packing
+from .pane_revisions import OP11_SQL, op11_pane_revisions
 from .pii import op1_pii
 from .quality import op7_quality_classifier
 from .simhash_dedup import op6_simhash_dedup
@@ -15,7 +16,7 @@ from .url_filters import OP10_SQL, op10_url_filters
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_embedding_dedup, op3_substring_dedup, op4_packing, op5_suffix_dedup, op6_simhash_dedup, op7_quality_classifier, op8_chat_format, op9_decontamination, op10_url_filters)}
+    return {f.__name__: f for f in (op1_pii, op2_embedding_dedup, op3_substring_dedup, op4_packing, op5_suffix_dedup, op6_simhash_dedup, op7_quality_classifier, op8_chat_format, op9_decontamination, op10_url_filters, op11_pane_revisions)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_chat_format": OP8_SQL,
         "op9_decontamination": OP9_SQL,
         "op10_url_filters": OP10_SQL,
+        "op11_pane_revisions": OP11_SQL,
     }
