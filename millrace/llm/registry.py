@@ -13,10 +13,12 @@ from .simhash_dedup import op6_simhash_dedup
 from .substring_dedup import OP3_SQL, op3_substring_dedup
 from .suffix_dedup import op5_suffix_dedup
 from .url_filters import OP10_SQL, op10_url_filters
+from .vector_codes import OP13_SQL, op13_vector_codes
+from .warc import OP12_SQL, op12_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_embedding_dedup, op3_substring_dedup, op4_packing, op5_suffix_dedup, op6_simhash_dedup, op7_quality_classifier, op8_chat_format, op9_decontamination, op10_url_filters, op11_pane_revisions)}
+    return {f.__name__: f for f in (op1_pii, op2_embedding_dedup, op3_substring_dedup, op4_packing, op5_suffix_dedup, op6_simhash_dedup, op7_quality_classifier, op8_chat_format, op9_decontamination, op10_url_filters, op11_pane_revisions, op12_warc, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -27,4 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_decontamination": OP9_SQL,
         "op10_url_filters": OP10_SQL,
         "op11_pane_revisions": OP11_SQL,
+        "op12_warc": OP12_SQL,
+        "op13_vector_codes": OP13_SQL,
     }
