@@ -146,13 +146,13 @@ def typed_metrics(df: DataFrame, name: str = "name", agg: str = "agg", value: st
     return rows.select(name, kind.alias(agg), F.when(kind == "mean", F.col("mean")).when(kind == "sum", F.col("sum")).when(kind == "min", F.col("min")).otherwise(F.col("max")).alias(value))
 
 
-def aggregate_steps(df: DataFrame, last: list[str], summed: list[str], step: str = "step", name: str = "name", value: str = "value") -> DataFrame:
-    """Over several steps: listed names by their last value or sum; else timing_s/ summed, then by mean/avg, max, min, sum/total in the name; else the mean."""
+def aggregate_steps(df: DataFrame, last: list[str], summed: list[str], step: str = "step", name: str = "name", value: str = "value", by: list[str] | None = None) -> DataFrame:
+    """Over several steps (of each group `by`): listed names by their last value or sum; else timing_s/ summed, then by mean/avg, max, min, sum/total in the name; else the mean."""
     n = F.col(name)
-    rows = df.groupBy(name).agg(F.max_by(value, step).alias("_last"), F.sum(value).alias("_sum"), F.avg(value).alias("_avg"), F.max(value).alias("_max"), F.min(value).alias("_min"))
+    rows = df.groupBy(*(by or []), name).agg(F.max_by(value, step).alias("_last"), F.sum(value).alias("_sum"), F.avg(value).alias("_avg"), F.max(value).alias("_max"), F.min(value).alias("_min"))
     has = lambda *words: F.rlike(n, F.lit("|".join(words)))
     out = F.when(n.isin(last), F.col("_last")).when(n.isin(summed) | n.startswith("timing_s/"), F.col("_sum")).when(has("mean", "avg"), F.col("_avg")).when(has("max"), F.col("_max")).when(has("min"), F.col("_min")).when(has("sum", "total"), F.col("_sum")).otherwise(F.col("_avg"))
-    return rows.select(name, out.alias(value))
+    return rows.select(*(by or []), name, out.alias(value))
 
 
 def spread(x: Column, name: str) -> list[Column]:

@@ -18,6 +18,69 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop's path, its file system)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = file_system(spark, path)
+    fs.delete(p, True)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    (a, fs), (b, _) = file_system(spark, old), file_system(spark, new)
+    fs.mkdirs(b.getParent())
+    if not fs.rename(a, b):
+        raise OSError(f"can't rename {old} to {new}")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Mends what a broken-off replacement left: the old table comes back unless the new one is there; unfinished ones go."""
+    path = path.rstrip("/")
+    if exists(spark, f"{path}.old"):
+        if exists(spark, path):
+            delete(spark, f"{path}.old")
+        else:
+            rename(spark, f"{path}.old", path)
+    delete(spark, f"{path}.new")
+
+
+def replace_table(df: DataFrame, path: str, write=None, between=None) -> None:
+    """Writes df beside the table at a path, then puts it in its place by renaming; df may read the table itself.
+
+    Until the last rename the old table can be had back by `recover`; readers never see a part of the new one.
+    write(df, path) is Parquet unless given; between() is called between the renames, for tests that break it off."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    recover(spark, path)
+    (write or (lambda d, p: d.write.option("compression", "zstd").parquet(p)))(df, f"{path}.new")
+    if exists(spark, path):
+        rename(spark, path, f"{path}.old")
+    if between:
+        between()
+    rename(spark, f"{path}.new", path)
+    delete(spark, f"{path}.old")
+
+
+def left_to_do(todo: DataFrame, path: str, key: str, good: Column | None = None) -> DataFrame:
+    """The rows of todo that the JSON lines at a path don't hold yet; `good` tells which of its records count as done."""
+    spark = todo.sparkSession
+    recover(spark, path)
+    if not exists(spark, path):
+        return todo
+    done = spark.read.schema(f"`{key}` {todo.schema[key].dataType.simpleString()}, model_answer string").json(path)
+    return todo.join((done.where(good) if good is not None else done).select(key).distinct(), key, "left_anti")
+
+
+def compact_answers(spark: SparkSession, path: str, key: str, columns: str, bad: Column) -> None:
+    """Rewrites the JSON lines of answers, appended in any number of runs, to one record a key: a good one before a bad one, then the last by `at`."""
+    from ..operators.records import keep_last
+
+    rows = spark.read.schema(columns).json(path).withColumn("_order", F.struct((~bad).alias("good"), F.col("at")))
+    replace_table(keep_last(rows, [key], "_order").drop("_order"), path, lambda d, p: d.write.json(p))
+
+
 def refuse_empty(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"{what} has no rows")
