@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import latex as X
 from ..functions import text as T
 
+#: Characters of an answer that a second try shows.
 LONGEST = 2000
 
 
@@ -22,10 +23,11 @@ def filled(template: str, **parts: Column) -> Column:
     return out
 
 
-def judge_prompts(df: DataFrame, template: str, question: str = "query", gold: str = "response", answer: str = "extracted_answer") -> DataFrame:
-    """df with prompt: question without image marks, gold answer, and at most 2000 characters of the answer."""
+def judge_prompts(df: DataFrame, template: str, question: str = "query", gold: str = "response", answer: str = "extracted_answer", longest: int | None = None) -> DataFrame:
+    """df with prompt: question without image marks, gold answer, and the answer, whole unless `longest` says otherwise (LONGEST for second tries)."""
     asked = F.replace(T.text(question), F.lit("<image>"), F.lit(""))
-    return df.withColumn("prompt", filled(template, gt=F.col(gold), response=F.substring(T.text(answer), 1, LONGEST), question=asked))
+    said = T.text(answer) if longest is None else F.left(T.text(answer), F.lit(longest))
+    return df.withColumn("prompt", filled(template, gt=F.col(gold), response=said, question=asked))
 
 
 def graded_by_model(df: DataFrame, reply: str = "reply", error: str = "error") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from .registry import Registry
-from .scoring import score, score_with
+from .scoring import around_given, score, score_calls, score_with
 
 MANAGERS = Registry("reward manager")
 
@@ -37,10 +37,13 @@ def naive(df: DataFrame, routes: dict[str, str], mask: str = "mask") -> DataFram
 
 @MANAGERS.register("dapo")
 def dapo(df: DataFrame, routes: dict[str, str], longest: int, buffer: int, factor: float = 1.0, mask: str = "mask") -> DataFrame:
-    """Scores by source, less a penalty that grows over the last `buffer` of the `longest` tokens: overlong_reward, and overlong where it isn't zero."""
+    """Scores by source, less a penalty that grows over the last `buffer` of the `longest` tokens: overlong_reward, and overlong where it isn't zero.
+    Given scores stay as they are, without a penalty."""
     if not 0 < buffer <= longest:
         raise ValueError(f"a buffer of {buffer} for responses of {longest}")
-    rows = routed(df, routes).withColumn("overlong_reward", S.overlong_penalty(S.count_mask(mask), longest, buffer, factor))
+    penalty = S.overlong_penalty(S.count_mask(mask), longest, buffer, factor)
+    own = F.col("given_score").isNull() if "given_score" in df.columns else F.lit(True)
+    rows = routed(df, routes).withColumn("overlong_reward", F.when(own, penalty).otherwise(0.0))
     return rows.withColumn("overlong", F.col("overlong_reward") < 0).withColumn("rewards", S.at_last_valid(mask, F.col("score") + F.col("overlong_reward")))
 
 
@@ -51,15 +54,25 @@ def batch(df: DataFrame, function: Callable[[pd.DataFrame], pd.Series], mask: st
 
     def each(frames):
         for pdf in frames:
-            yield pdf.assign(score=pd.Series(function(pdf)).to_numpy(dtype="float64"))
+            yield pdf.assign(score=around_given(pdf, lambda rest: pd.Series(function(rest)).to_numpy(dtype="float64"), "given_score"))
 
-    return given(df.mapInPandas(each, f"{kinds}, score double")).withColumn("rewards", S.at_last_valid(mask, F.col("score")))
+    return df.mapInPandas(each, f"{kinds}, score double").withColumn("rewards", S.at_last_valid(mask, F.col("score")))
 
 
 @MANAGERS.register("prime")
-def prime(df: DataFrame, function: Callable[[pd.DataFrame], pd.Series], mask: str = "mask") -> DataFrame:
-    """As batch, but a row that the function fails on scores 0."""
-    return given(score_with(df, function)).withColumn("rewards", S.at_last_valid(mask, F.col("score")))
+def prime(df: DataFrame, function: Callable[[pd.DataFrame], pd.Series], seconds: float | None = None, mask: str = "mask") -> DataFrame:
+    """As batch, but a row that the function fails on scores 0; with a time limit rows are scored one by one, and one that takes longer scores 0."""
+    if seconds is None:
+        rows = score_with(df, function)
+    else:
+        rows = score_calls(df, lambda record: float(function(pd.DataFrame([record])).iloc[0]), seconds=seconds).drop("status", "problem")
+    return rows.withColumn("rewards", S.at_last_valid(mask, F.col("score")))
+
+
+@MANAGERS.register("limited")
+def limited(df: DataFrame, call: Callable[[dict], object], mask: str = "mask", **limits) -> DataFrame:
+    """Scores of a remote scorer under limits of time, number and rate (`score_calls`), with each row's status."""
+    return score_calls(df, call, **limits).withColumn("rewards", S.at_last_valid(mask, F.col("score")))
 
 
 def rewarded(df: DataFrame, manager: str, reward_free: bool = False, mask: str = "mask", **options) -> DataFrame:

@@ -6,7 +6,11 @@ user code in Python is a function on a pandas frame.  Rows that have a score alr
 
 from __future__ import annotations
 
+import asyncio
+import inspect
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -80,26 +84,104 @@ def score(df: DataFrame, routes: dict[str, str], source: str = "data_source", an
     return df.withColumn("result", result)
 
 
-def score_with(df: DataFrame, function: Callable[[pd.DataFrame], pd.Series], name: str = "score", default: float = 0.0) -> DataFrame:
-    """df with the score of a user's function on frames; a frame that it fails on is tried row by row, and failing rows get the default."""
+def score_with(df: DataFrame, function: Callable[[pd.DataFrame], pd.Series], name: str = "score", default: float = 0.0, given: str = "given_score") -> DataFrame:
+    """df with the score of a user's function on frames; a frame that it fails on is tried row by row, and failing rows get the default.
+
+    Rows with a given score keep it; the function doesn't see them."""
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
 
+    def tried(pdf):
+        try:
+            return pd.Series(function(pdf)).to_numpy(dtype="float64")
+        except Exception:
+            values = []
+            for i in range(len(pdf)):
+                try:
+                    values.append(float(function(pdf.iloc[i : i + 1]).iloc[0]))
+                except Exception:  # a scorer's failure is the default score
+                    values.append(default)
+            return values
+
     def each(frames):
         for pdf in frames:
-            try:
-                values = function(pdf)
-            except Exception:
-                values = []
-                for i in range(len(pdf)):
-                    try:
-                        values.append(float(function(pdf.iloc[i : i + 1]).iloc[0]))
-                    except Exception:  # a scorer's failure is the default score
-                        values.append(default)
-            yield pdf.assign(**{name: pd.Series(values, index=pdf.index, dtype="float64") if isinstance(values, list) else values.astype("float64")})
+            yield pdf.assign(**{name: around_given(pdf, tried, given)})
 
     return df.mapInPandas(each, f"{kinds}, `{name}` double")
 
 
+def around_given(pdf: pd.DataFrame, scores: Callable[[pd.DataFrame], object], given: str) -> pd.Series:
+    """Given scores where there are any; of the other rows alone what `scores` says."""
+    out = pdf[given].astype("float64") if given in pdf else pd.Series(float("nan"), index=pdf.index)
+    rest = out.isna()
+    if rest.any():
+        out = out.copy()
+        out[rest] = scores(pdf[rest])
+    return out
+
+
+class Bucket:
+    """Permits that come back at a rate a second, at most as many as one second gives (one at least)."""
+
+    def __init__(self, rate: float):
+        self.rate, self.most = rate, max(1.0, rate)
+        self.level, self.at = self.most, time.monotonic()
+
+    async def take(self, n: float) -> None:
+        n = min(n, self.most)  # a larger need waits for a full bucket
+        while True:
+            now = time.monotonic()
+            self.level, self.at = min(self.most, self.level + (now - self.at) * self.rate), now
+            if self.level >= n:
+                self.level -= n
+                return
+            await asyncio.sleep((n - self.level) / self.rate)
+
+
+def score_calls(df: DataFrame, call: Callable[[dict], object], at_once: int = 8, seconds: float = 300.0, default: float = 0.0, calls_a_minute: float | None = None, tokens_a_minute: float | None = None, tokens: Callable[[dict], float] | None = None, tasks: int | None = None, given: str = "given_score") -> DataFrame:
+    """df with score, status and problem: each row by a remote scorer, call(row) -> number, a coroutine's or a plain function's.
+
+    Within a task at most `at_once` calls run at a time, each for at most `seconds`; one that takes longer is a `timeout`, one that fails an
+    `error`, and both get the default score.  Rows with a given score are `given` and cause no call.  Rates hold for the whole job: with any, the
+    rows are dealt to `tasks` tasks (1 unless given), which share them evenly.  A plain function that doesn't end keeps its thread; the row goes on without it."""
+    if (calls_a_minute or tokens_a_minute) and tasks is None:
+        tasks = 1
+    rows = df.repartition(tasks) if tasks else df
+    share = lambda rate: Bucket(rate / 60 / tasks) if rate else None
+    kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+
+    async def scored(records: list[dict], buckets) -> list[tuple]:
+        gate, pool = asyncio.Semaphore(at_once), ThreadPoolExecutor(at_once)
+        loop = asyncio.get_running_loop()
+
+        async def one(record):
+            if record.get(given) is not None and record[given] == record[given]:
+                return float(record[given]), "given", None
+            for bucket, need in zip(buckets, (1.0, tokens(record) if tokens else 1.0)):
+                if bucket:
+                    await bucket.take(need)
+            async with gate:
+                try:
+                    work = call(record) if inspect.iscoroutinefunction(call) else loop.run_in_executor(pool, call, record)
+                    return float(await asyncio.wait_for(work, seconds)), "ok", None
+                except TimeoutError:
+                    return default, "timeout", f"no answer within {seconds:g} s"
+                except Exception as failure:  # a scorer's failure is the default score
+                    return default, "error", f"{type(failure).__name__}: {failure}"
+
+        try:
+            return await asyncio.gather(*map(one, records))
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+
+    def each(frames):
+        buckets = (share(calls_a_minute), share(tokens_a_minute))
+        for pdf in frames:
+            got = asyncio.run(scored(pdf.to_dict("records"), buckets)) if len(pdf) else []
+            yield pdf.assign(score=[float(g[0]) for g in got], status=[g[1] for g in got], problem=[g[2] for g in got])
+
+    return rows.mapInPandas(each, f"{kinds}, score double, status string, problem string")
+
+
 def token_rewards(df: DataFrame, score_: str = "score", mask: str = "mask", longest: int | None = None, buffer: int | None = None, factor: float = 1.0) -> DataFrame:
     """rewards: the score at the last valid token, less the penalty of overlong responses if a buffer is set."""
     value = F.col(score_)

@@ -10,7 +10,7 @@ from .catalog import query
 from .tables import rounded, table
 
 
-@query("grade_prompts", "SELECT page_id, 'Q: ' || url || ' A: ' || (page_id % 7) || ' R: ' || left(html, 2000) AS prompt FROM pages")
+@query("grade_prompts", "SELECT page_id, 'Q: ' || url || ' A: ' || (page_id % 7) || ' R: ' || html AS prompt FROM pages")
 def grade_prompts(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<image>"), "url").alias("query"), (F.col("page_id") % 7).cast("string").alias("response"), F.col("html").alias("extracted_answer"))
     return G.judge_prompts(rows, "Q: {question} A: {gt} R: {response}").select("page_id", "prompt")

@@ -89,3 +89,49 @@ def test_channel_calls(spark):
     row = spark.createDataFrame([(said,), (None,), ("plain",)], "s string").select(T.channel_calls("s").alias("c"), T.without_channel_calls("s").alias("t")).collect()
     assert [tuple(c) for c in row[0].c] == [("f", "{not json")] and row[0].t == "ab"
     assert row[1].c == [] and row[1].t == "" and row[2].t == "plain"
+
+
+def test_given_scores_are_nobody_elses(spark):
+    rows = spark.createDataFrame([(0, None, [1] * 7), (1, 0.25, [1] * 7), (2, None, [1, 0, 0, 0, 0, 0, 0])], "i int, given_score double, mask array<int>").withColumn("data_source", F.lit("gsm8k")).withColumn("response", F.lit("#### 5")).withColumn("gold", F.lit("5"))
+    got = {r.i: (r.score, r.overlong_reward, r.overlong, sum(r.rewards)) for r in G.rewarded(rows, "dapo", routes={"gsm8k": "gsm8k"}, longest=7, buffer=4).collect()}
+    assert got == {0: (1.0, -1.0, True, 0.0), 1: (0.25, 0.0, False, 0.25), 2: (1.0, 0.0, False, 1.0)}
+
+    def refuses(pdf):
+        if pdf["given_score"].notna().any():
+            raise ValueError("asked for a given row")
+        return pdf["i"] * 2.0
+
+    for name in ("batch", "prime"):
+        assert [r.score for r in G.rewarded(rows, name, function=refuses).orderBy("i").collect()] == [0.0, 0.25, 4.0]
+
+
+def test_remote_scorers_have_limits(spark):
+    import time
+
+    rows = spark.createDataFrame([(i, 0.5 if i == 9 else None, [1, 1]) for i in range(12)], "i int, given_score double, mask array<int>").coalesce(1)
+
+    def slow(record):
+        if record["i"] == 3:
+            time.sleep(8)
+        if record["i"] == 4:
+            raise KeyError("no")
+        assert record["i"] != 9
+        return record["i"]
+
+    async def later(record):
+        import asyncio
+
+        await asyncio.sleep(8 if record["i"] == 3 else 0.01)
+        return slow({"i": record["i"] if record["i"] != 3 else 0})
+
+    for call in (slow, later):
+        began = time.time()
+        got = {r.i: (r.score, r.status, sum(r.rewards)) for r in G.rewarded(rows, "limited", call=call, at_once=4, seconds=1.0, default=-1.0).collect()}
+        assert got[3] == (-1.0, "timeout", -1.0) and got[4][:2] == (-1.0, "error") and got[9] == (0.5, "given", 0.5)
+        assert all(got[i] == (float(i), "ok", float(i)) for i in (0, 1, 2, 5, 11))
+        assert call is slow or time.time() - began < 7
+    began = time.time()
+    got = G.rewarded(rows, "limited", call=lambda r: 1.0, calls_a_minute=240.0).collect()  # four a second: the first four at once
+    assert len(got) == 12 and time.time() - began >= 1.5
+    assert [r.score for r in G.rewarded(rows, "prime", function=lambda pdf: pdf["i"].map(lambda i: time.sleep(5) or 1.0 if i == 1 else 1.0), seconds=1.0).orderBy("i").collect()][:3] == [1.0, 0.0, 1.0]
+    assert G.rewarded(rows.where("false"), "limited", call=slow).count() == 0
