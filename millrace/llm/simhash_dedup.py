@@ -192,14 +192,11 @@ def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable)."""
     rows = checkpoint(fingerprints(docs, shingle))
     one = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    # components are found on the smallest ids of fingerprints, so that none is looked up by its component
-    own = F.coalesce("first_id", F.lit(2**62) + F.pmod(F.col("fp"), F.lit(2**61)))
-    numbered = one.select("fp", own.alias("id"))
-    edges = near_fingerprints(one, distance).withColumnsRenamed({"a": "fp"}).join(numbered, "fp").select("b", F.col("id").alias("a"))
-    edges = edges.withColumnRenamed("b", "fp").join(numbered, "fp").select("a", F.col("id").alias("b"))
-    group = components(edges).select(F.col("node").alias("id"), "component")
-    smallest = F.coalesce("component", "id")
-    by_fp = numbered.join(group, "id", "left").select("fp", F.when(smallest < 2**62, smallest).alias("component_id"))
+    # nodes are the fingerprints themselves: rows without an id, and unlike rows of one id, stay apart
+    group = components(near_fingerprints(one, distance)).select(F.col("node").alias("fp"), "component")
+    labelled = checkpoint(one.join(group, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    smallest = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    by_fp = labelled.join(smallest, "component").select("fp", "component_id")
     return rows.join(by_fp, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

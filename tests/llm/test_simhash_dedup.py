@@ -73,3 +73,25 @@ def test_hot_signature_is_compared_in_many_tasks(spark):
     assert (root[x] == root[y]).all()
     assert (got == np.unique(root, return_index=True)[1][np.unique(root, return_inverse=True)[1]]).all()
     assert 1 < len(set(got.tolist())) < len(fps)
+
+
+def test_any_ids(spark):
+    """Ids up to 2^63 - 1; unlike texts of one id stay apart; of rows without an id only like ones are one component."""
+    rnd = random.Random(6)
+    text = lambda: " ".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=300))
+    a, b, c, d = text(), text(), text(), text()
+    near = a + " z"
+    assert bin(brute_fp(a) ^ brute_fp(near)).count("1") <= 3 < min(bin(brute_fp(x) ^ brute_fp(y)).count("1") for x in (a,) for y in (b, c, d))
+    rows = [(2**62 + 5, a), (2**62 + 6, near), (2**63 - 1, b), (-(2**63), c), (3, near), (5, a), (5, b), (None, d), (None, c)]
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash_dedup(brute.docs(spark, rows)).collect()}
+    key = lambda i, t: (i, f"{brute_fp(t):016x}")
+    assert got[key(2**62 + 5, a)] == got[key(2**62 + 6, near)] == got[key(3, near)] == got[key(5, a)] == 3
+    assert got[key(2**63 - 1, b)] == got[key(5, b)] == 5 and got[key(-(2**63), c)] == got[key(None, c)] == -(2**63) and got[key(None, d)] is None
+    alone = {r.doc_id: r.component_id for r in simhash_dedup(brute.docs(spark, [(2**62 + 5, a), (2**62 + 6, near), (2**62 + 9, b)])).collect()}
+    assert alone == {2**62 + 5: 2**62 + 5, 2**62 + 6: 2**62 + 5, 2**62 + 9: 2**62 + 9}
+
+
+def brute_fp(text):
+    from millrace.llm.simhash_dedup import fingerprint
+
+    return fingerprint(text.encode())
