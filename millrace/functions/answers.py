@@ -7,12 +7,12 @@ answers that only it could tell apart or alike are "unresolved", never "wrong".
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .braces import bound, braced
 from .latex import PLAIN, normal, pairs, pattern, where
 from .text import strip, text
 
@@ -21,11 +21,6 @@ PI = "3.141592653589793"
 NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 
 
-def bound(value: Column, rule: Callable[[Column], Column]) -> Column:
-    """rule(value), with the value worked out once however often the rule names it."""
-    return F.element_at(F.transform(F.array(value), rule), 1)
-
-
 def number(c: Column) -> Column:
     """A plain number as a double, else null; words like infinity are none."""
     c = F.trim(c)
@@ -40,24 +35,6 @@ def whole(x: Column) -> Column:
 # Boxes
 
 
-def braced(tail: Column) -> Column:
-    """What stands between the first open brace and the first closing one at which the depth is back at none; null without."""
-
-    def step(s, x):
-        at = s["at"] + x["n"] + 1
-        up = x["mark"] == "{"
-        depth = s["depth"] + F.when(up, 1).otherwise(-1)
-        left = F.coalesce(s["left"], F.when(up, at))
-        return F.struct(depth.alias("depth"), at.alias("at"), left.alias("left"), F.coalesce(s["end"], F.when(~up & (depth == 0), at)).alias("end"))
-
-    none = F.lit(None).cast("int")
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), none.alias("left"), none.alias("end"))
-    marks = F.regexp_extract_all(tail, F.lit("[{}]"), F.lit(0))
-    sizes = F.transform(F.slice(F.split(tail, "[{}]", -1), F.lit(1), F.size(marks)), lambda p: F.length(p))
-    found = F.aggregate(F.arrays_zip(marks.alias("mark"), sizes.alias("n")), start, step)
-    return bound(found, lambda s: F.when(s["left"] < s["end"], F.substring(tail, s["left"] + 1, s["end"] - s["left"] - 1)))
-
-
 def boxed_strictly(x) -> Column:
     r"""What the last "\boxed{" holds; null if there is none, or it isn't closed."""
     return bound(text(x), lambda c: F.when(F.contains(c, F.lit("\\boxed{")), bound(F.concat(F.lit("{"), F.substring_index(c, "\\boxed{", -1)), braced)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import latex as X
 from ..functions import text as T
+from ..functions.braces import bound
 
 #: Characters of an answer that a second try shows.
 LONGEST = 2000
@@ -64,7 +65,7 @@ def clean_hint(x) -> Column:
 def boxed_with_format(answer, gold, share: float = 0.1) -> Column:
     """0.9 for the right box and 0.1 for the form <think>...</think>...\\boxed{...}.  An undecided answer counts as wrong."""
     form = F.rlike(T.text(answer), F.lit(r"(?s)^<think>.*</think>.*\\boxed\{.*\}.*\z"))
-    right = F.coalesce(X.grade(X.boxed(answer), gold) == "right", F.lit(False))
+    right = bound(X.boxed(answer), lambda box: box.isNotNull() & (X.grade(box, gold) == "right"))
     return F.when(right, 1 - share).otherwise(0.0) + F.when(form, share).otherwise(0.0)
 
 

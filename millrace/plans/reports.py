@@ -117,16 +117,32 @@ def geometry_boxes(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.transform(box, lambda v: v.cast("string")), ",").alias("box"))
 
 
-@query("tool_merged_score", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM documents")
+@query(
+    "tool_merged_score",
+    """WITH t AS (SELECT doc_id, contains(coalesce(text, ''), 'Action') AS own FROM documents)
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND NOT own THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM t""",
+)
 def tool_merged_score(spark, sf_dir):
-    said = F.when(F.col("doc_id") % 3 == 0, 'Action: find\nAction Input: {"q": 1}\nAction: open\nAction Input: {"p": 2}').when(F.col("doc_id") % 3 == 1, 'Action: open\nAction Input: {"q": 1}').otherwise("Action: find\nAction: open\nAction Input: {bad}")
-    gold = '[{"Action": "open", "Action_Input": "{\\"p\\": 2}"}, {"Action": "find", "Action_Input": {"q": 1}}]'
-    rows = table(spark, sf_dir, "documents").select("doc_id", said.alias("answer"), F.lit(gold).alias("gold"))
+    """Actions before, between and behind a whole text, whose digest is one of the inputs."""
+    k, text = F.col("doc_id") % 3, F.coalesce("text", F.lit(""))
+    digest = F.concat(F.lit('{"q": "'), F.md5(text), F.lit('"}'))
+    right = F.concat(text, F.lit("\nAction: find\nAction Input: "), digest, F.lit("\n"), text, F.lit('\nAction: open\nAction Input: {"p": 2}\n'), text)
+    said = F.when(k == 0, right).when(k == 1, F.concat(F.lit("Action: open\nAction Input: "), digest, text)).otherwise(F.concat(F.lit("Action: find\nAction: open\nAction Input: {bad}\n"), text))
+    gold = F.concat(F.lit('[{"Action": "open", "Action_Input": "{\\"p\\": 2}"}, {"Action": "find", "Action_Input": '), digest, F.lit("}]"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", said.alias("answer"), gold.alias("gold"))
     return G.python_score(rows, G.merged_tool_score, "answer", "gold").select("doc_id", "score")
 
 
-@query("code_scores", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'y = 22' || chr(10) END AS code, CASE WHEN doc_id % 4 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS sparse, CASE WHEN doc_id % 4 = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS share FROM documents")
+@query(
+    "code_scores",
+    """WITH t AS (SELECT doc_id, replace(coalesce(text, ''), '```', '') AS code FROM documents)
+    SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CASE WHEN length(code) >= 2 THEN code || chr(10) ELSE 'y = 22' || chr(10) END WHEN 1 THEN 'x' || chr(10) END AS code,
+      CASE WHEN doc_id % 4 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS sparse, CASE WHEN doc_id % 4 = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS share FROM t""",
+)
 def code_scores(spark, sf_dir):
-    said = F.when(F.col("doc_id") % 2 == 0, "a\n```python\nx\n```\nb\n```\ny = 22\n```").otherwise("none")
+    """Whole texts as code in a fence, before one, and without one; the longest fenced block counts."""
+    code, k = F.replace(F.coalesce("text", F.lit("")), F.lit("```"), F.lit("")), F.col("doc_id") % 3
+    long = F.when(F.length(code) >= 2, code).otherwise("y = 22")
+    said = F.when(k == 0, F.concat(F.lit("a\n```python\nx\n```\nb\n```\n"), long, F.lit("\n```"))).when(k == 1, F.concat(code, F.lit("\n```py\nx\n```\n"))).otherwise(code)
     passed = F.array(F.lit(True), F.col("doc_id") % 4 == 0)
     return table(spark, sf_dir, "documents").select("doc_id", G.code_block(said).alias("code"), G.code_score(passed).alias("sparse"), G.code_score(passed, False).alias("share"))

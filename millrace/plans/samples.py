@@ -57,41 +57,73 @@ def tool_best_so_far(spark, sf_dir):
     return C.best_so_far(table(spark, sf_dir, "events"), "user_id", "event_id", "value").select("event_id", "tool_reward")
 
 
-LATEX = r"""CASE doc_id % 10 WHEN 0 THEN '\frac12' WHEN 1 THEN '0.5' WHEN 2 THEN 'x = 1/2' WHEN 3 THEN '\sqrt3 \text{ cm}' WHEN 4 THEN '1,234'
+LATEX = r"""CASE doc_id % 10 WHEN 0 THEN '\frac12' WHEN 1 THEN '0.5' WHEN 2 THEN 'x=1/2' WHEN 3 THEN '\sqrt3 \text{ cm}' WHEN 4 THEN '1,234'
  WHEN 5 THEN '50\%' WHEN 6 THEN '\dfrac{3}{4}' WHEN 7 THEN '.25' WHEN 8 THEN '90^\circ' ELSE 'abc' END"""
-#: The normal forms and values of the ten answers, worked out by hand.
-FORMS = r"""CASE doc_id % 10 WHEN 0 THEN '\frac{1}{2}' WHEN 1 THEN '\frac{1}{2}' WHEN 2 THEN 'x=1/2' WHEN 3 THEN '\sqrt{3}' WHEN 4 THEN '1,234'
- WHEN 5 THEN '50' WHEN 6 THEN '\frac{3}{4}' WHEN 7 THEN '0.25' WHEN 8 THEN '90' ELSE 'abc' END"""
-GRADES = "CASE doc_id % 10 WHEN 0 THEN 'right' WHEN 1 THEN 'right' WHEN 2 THEN 'right' WHEN 3 THEN 'unresolved' WHEN 4 THEN 'wrong' WHEN 5 THEN 'right' WHEN 6 THEN 'wrong' WHEN 7 THEN 'wrong' WHEN 8 THEN 'wrong' ELSE 'unresolved' END"
+#: Beside the literals, whole documents and turns.
+LATEX_ROWS = [("documents", "doc_id", "'made'", LATEX), ("documents", "doc_id", "'text'", "coalesce(text, '')"), ("conversations", "conv_id * 10000 + turn", "'turn'", "coalesce(text, '')")]
+
+
+def plain_sql(x: str) -> str:
+    """SQL of the plain form, a step for each of its rules."""
+    literal = lambda v: v.replace("{", "{{").replace("}", "}}")
+    swap = lambda pairs: [f"replace({{0}}, '{literal(a)}', '{literal(b)}')" for a, b in pairs]
+    steps = ["replace({0}, chr(10), '')", *swap(X.SIZES[1:]), r"string_split({0}, '\text{{ ')[1]", *swap(X.POINTS)]
+    steps += [r"regexp_replace({0}, '^\.', '0.')", "regexp_replace({0}, '^([^=]?[^=]?)=([^=]*)$', '\\2')", r"regexp_replace({0}, '(\\sqrt)([^{{])', '\1{{\2}}', 'g')", "replace({0}, ' ', '')"]
+    steps += [r"regexp_replace({0}, '\\frac([^{{])([^{{])', '\\frac{{\1}}{{\2}}', 'g')", r"regexp_replace({0}, '\\frac([^{{])\{{', '\\frac{{\1}}{{', 'g')", r"regexp_replace({0}, '^0\.5$', '\\frac{{1}}{{2}}')"]
+    steps += [r"regexp_replace({0}, '^(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)$', '\\frac{{\1}}{{\2}}')"]
+    for step in steps:
+        x = step.format(x)
+    return x
+
+
+LATEX_SQL = "r AS (" + " UNION ALL ".join(f"SELECT {i}::BIGINT AS doc_id, {origin} AS origin, {x} AS answer FROM {name}" for name, i, origin, x in LATEX_ROWS) + ")"
 
 
 def latex_rows(spark, sf_dir):
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", LATEX.replace("\\", "\\\\") + " AS answer")
+    one, two, three = (table(spark, sf_dir, name).selectExpr(f"cast({i} as bigint) as doc_id", f"{origin} as origin", x.replace("\\", "\\\\") + " as answer") for name, i, origin, x in LATEX_ROWS)
+    return one.union(two).union(three)
 
 
-@query("latex_forms", f"SELECT doc_id, {FORMS.replace('x=1/2', chr(92) + 'frac{1}{2}')} AS form FROM documents")
+@query("latex_forms", f"WITH {LATEX_SQL} SELECT doc_id, origin, {plain_sql('answer')} AS form FROM r")
 def latex_forms(spark, sf_dir):
-    return latex_rows(spark, sf_dir).select("doc_id", X.plain_latex(F.regexp_replace("answer", "^x = ", "x=")).alias("form"))
+    return latex_rows(spark, sf_dir).select("doc_id", "origin", X.plain_latex("answer").alias("form"))
 
 
-@query("latex_grades", f"SELECT doc_id, {GRADES} AS grade FROM documents")
+@query(
+    "latex_grades",
+    rf"""WITH {LATEX_SQL}, f AS (SELECT *, {plain_sql('answer')} AS form FROM r), n AS (SELECT *, regexp_replace(form, '[,%]', '', 'g') AS bare FROM f),
+    v AS (SELECT *, coalesce(TRY_CAST(bare AS DOUBLE), CASE WHEN regexp_matches(bare, '^\\frac\{{[0-9.]+\}}\{{[0-9.]+\}}$') THEN TRY_CAST(regexp_extract(bare, '\{{([0-9.]+)\}}', 1) AS DOUBLE) / TRY_CAST(regexp_extract(bare, '\{{([0-9.]+)\}}$', 1) AS DOUBLE) END) AS x FROM n)
+    SELECT doc_id, origin, CASE WHEN form = '\frac{{1}}{{2}}' THEN 'right' WHEN x IS NULL THEN 'unresolved' WHEN abs(x - 0.5) <= 0.5e-4 OR abs(x - 50) <= 50e-4 OR abs(x - 0.005) <= 0.005e-4 THEN 'right' ELSE 'wrong' END AS grade FROM v""",
+)
 def latex_grades(spark, sf_dir):
-    return latex_rows(spark, sf_dir).select("doc_id", X.grade(F.regexp_replace("answer", "^x = ", "x="), F.lit("1/2")).alias("grade"))
+    return latex_rows(spark, sf_dir).select("doc_id", "origin", X.grade("answer", F.lit("1/2")).alias("grade"))
 
 
 @query(
     "latex_line_score",
-    "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS score, CASE doc_id % 3 WHEN 0 THEN '12' WHEN 1 THEN '[INVALID]' ELSE '13' END AS pred FROM documents",
+    r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^0-9bdf]', '', 'g') AS digits FROM documents)
+    SELECT doc_id, CASE WHEN pred = right(digits, 1) THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS score, pred FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN right(digits, 9) WHEN 1 THEN '[INVALID]' ELSE right(digits, 1) END AS pred FROM t)""",
 )
 def latex_line_score(spark, sf_dir):
-    said = F.when(F.col("doc_id") % 3 == 0, "so\nAnswer: x = $12$ dollars").when(F.col("doc_id") % 3 == 1, "none").otherwise("Answer: 12\nanswer : 13")
-    s = table(spark, sf_dir, "documents").select("doc_id", X.line_score(said, F.lit("12")).alias("s"))
+    """A text's last digits and b, d, f behind "Answer:", in dollars and with units, and twice; without one an invalid line."""
+    digits = F.regexp_replace(F.coalesce("text", F.lit("")), "[^0-9bdf]", "")
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("\nAnswer: x = $"), F.right(digits, F.lit(9)), F.lit("$ dollars"))).when(F.col("doc_id") % 3 == 1, digits)
+    said = said.otherwise(F.concat(F.coalesce("text", F.lit("")), F.lit("\nAnswer: 12\nanswer : "), F.right(digits, F.lit(1)), F.lit(" ")))
+    s = table(spark, sf_dir, "documents").select("doc_id", X.line_score(F.coalesce(said, F.lit("")), F.right(digits, F.lit(1))).alias("s"))
     return s.select("doc_id", "s.score", "s.pred")
 
 
-@query("latex_boxed", r"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '\frac{1}{2}' WHEN 1 THEN NULL WHEN 2 THEN 'b{c}' END AS boxed FROM documents")
+@query(
+    "latex_boxed",
+    r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\{}]', '', 'g') AS bare FROM documents)
+    SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '\frac{' || bare || '}{2}' WHEN 1 THEN NULL WHEN 2 THEN bare || '{c}' WHEN 4 THEN string_split(bare, '$')[1] END AS boxed FROM t""",
+)
 def latex_boxed(spark, sf_dir):
-    said = F.when(F.col("doc_id") % 4 == 0, "\\boxed{1} or \\boxed{\\frac{1}{2}} done").when(F.col("doc_id") % 4 == 1, "nothing").when(F.col("doc_id") % 4 == 2, "\\fbox{b{c}}").otherwise("\\boxed{open")
+    """Whole texts, without their own braces, in boxes: nested, in none, in a framed one, in an open one, behind a blank."""
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\\{}]", "")
+    k = F.col("doc_id") % 5
+    said = F.when(k == 0, F.concat(F.lit("\\boxed{1} or \\boxed{\\frac{"), bare, F.lit("}{2}} done"))).when(k == 1, bare).when(k == 2, F.concat(F.lit("\\boxed{1} \\fbox{"), bare, F.lit("{c}}")))
+    said = said.when(k == 3, F.concat(F.lit("\\boxed{open "), bare)).otherwise(F.concat(F.lit("\\boxed{1} \\boxed "), bare, F.lit("$ more")))
     return table(spark, sf_dir, "documents").select("doc_id", X.boxed(said).alias("boxed"))
 
 
