@@ -78,7 +78,7 @@ def test_hot_signature_is_compared_in_many_tasks(spark):
 def test_any_ids(spark):
     """Ids up to 2^63 - 1; unlike texts of one id stay apart; of rows without an id only like ones are one component."""
     rnd = random.Random(6)
-    text = lambda: " ".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=300))
+    text = lambda: " ".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6000))
     a, b, c, d = text(), text(), text(), text()
     near = a + " z"
     assert bin(brute_fp(a) ^ brute_fp(near)).count("1") <= 3 < min(bin(brute_fp(x) ^ brute_fp(y)).count("1") for x in (a,) for y in (b, c, d))
