@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from ..functions import text as T
 from ..functions.text import text
 
 # What is said about an answer.
@@ -51,3 +52,19 @@ def feedback_scores(df: DataFrame, answer: str, gold: str, split: Column | None
         "score": F.col("acc") - F.when(F.col("_training") & missing & ~F.col("_cut"), penalty).otherwise(0.0),
         "incorrect_format": flag(missing), "truncated": flag(F.col("_cut")), "truncated_and_missing_answer": flag(missing & F.col("_cut")), "feedback": said,
     }).drop("_cut", "_training", "_rules", "_structure")
+
+
+def rule_cascade(df: DataFrame, kind: str, answer: str, gold: str, judged_again: bool = False) -> DataFrame:
+    """df with extracted_answer, judge ("Yes" or null), judge_source and to_model: the rules in turn, and what is left to a model.
+
+    A yes-no answer ("pope"), then a choice of two ("mmvp"), then the rules for answers, then the first letter ("mcq"), each for rows of its kind but the
+    rules for answers, which are for all; a rule that doesn't say yes leaves the row to the next.  judged_again: rows that the first two rules
+    decide go to the model as well, whose verdict then stands."""
+    k, own = F.lower(text(kind)), F.col("extracted_answer")
+    out = df.withColumn("extracted_answer", T.judged_part(answer)).withColumn("_math", A.answer_grade("extracted_answer", text(gold)))
+    yes = (k == "pope") & (T.yes_no(own) == F.lower(T.strip(text(gold))))
+    two = (k == "mmvp") & (T.two_choice(own) != "") & (T.two_choice(own) == F.lower(T.strip(text(gold))))
+    source = F.when(yes, "pope_exact").when(two, "mmvp_option").when(F.col("_math") == A.RIGHT, "mathruler").when((k == "mcq") & T.letter_match(F.col(gold), own), "first letter").otherwise("llm")
+    out = out.withColumn("judge_source", source).withColumn("judge", F.when(F.col("judge_source") != "llm", "Yes"))
+    again = F.lit(judged_again) & F.col("judge_source").isin("pope_exact", "mmvp_option")
+    return out.withColumn("to_model", (F.col("judge_source") == "llm") | again).drop("_math")

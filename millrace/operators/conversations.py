@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +33,55 @@ def parts(content: Column, images: Column | None = None) -> Column:
     return F.when(count == F.size(images), F.transform(pieces, part)).otherwise(F.raise_error(F.lit("as many images as placeholders are needed")).cast("array<struct<type:string,text:string,image:string>>"))
 
 
-def plain_content(content: Column) -> Column:
-    """The texts of typed parts, joined by blanks; null if blank."""
-    t = F.array_join(F.filter(F.transform(content, lambda p: p["text"]), lambda x: x.isNotNull()), " ")
-    return F.nullif(F.trim(t), F.lit(""))
+#: A message's content as typed parts.
+PARTS = "array<struct<type:string,text:string,image:string>>"
+
+
+def part(kind: Column, text: Column, image: Column) -> Column:
+    return F.struct(kind.alias("type"), text.cast("string").alias("text"), image.cast("string").alias("image"))
+
+
+def swapped_images(messages: Column, images: Column) -> Column:
+    """Messages (role, content as typed parts) whose n-th image part, counted over all of them, gets the n-th of other images.
+
+    A message whose content is null stays; refused unless there are as many images as image parts."""
+    count = lambda c: F.size(F.filter(c, lambda p: p["type"] == "image"))
+    shown = lambda c: F.coalesce(F.when(c.isNotNull(), count(c)), F.lit(0))
+    total = lambda m: F.aggregate(m, F.lit(0), lambda n, x: n + shown(x["content"]))
+
+    def swap(message, k):
+        before = total(F.slice(messages, F.lit(1), k))
+        place = lambda i: before + count(F.slice(message["content"], F.lit(1), i + 1))
+        none = F.lit(None)
+        new = F.transform(message["content"], lambda p, i: F.when(p["type"] == "image", part(p["type"], none, F.try_element_at(images, place(i)))).otherwise(part(p["type"], p["text"], p["image"])))
+        return F.struct(message["role"].alias("role"), new.alias("content"))
+
+    wrong = F.raise_error(F.format_string("%d teacher images for %d in the prompt", F.coalesce(F.size(images), F.lit(0)), total(messages))).cast(f"array<struct<role:string,content:{PARTS}>>")
+    return F.when(total(messages) == F.coalesce(F.size(images), F.lit(0)), F.transform(messages, swap)).otherwise(wrong)
+
+
+def templated_messages(messages: Column, images: Column) -> Column:
+    """Messages of plain texts as typed parts: each <image>, counted over all of them, takes the next of the images; refused unless they are as many."""
+    pieces = lambda t: F.filter(F.split(F.coalesce(t, F.lit("")), r"(?=<image>)|(?<=<image>)"), lambda p: p != "")
+    parted = F.transform(messages, lambda m: F.struct(m["role"].alias("role"), F.transform(pieces(m["content"]), lambda p: part(F.when(p == "<image>", "image").otherwise("text"), F.when(p != "<image>", p), F.lit(None))).alias("content")))
+    return swapped_images(parted, images)
+
+
+def hinted_messages(messages: Column, answer: Column, template: str) -> Column:
+    """Messages whose last one gets the template, with {answer} filled in, as one more text part."""
+    hint = F.replace(F.lit(template), F.lit("{answer}"), answer)
+    return F.transform(messages, lambda m, k: F.struct(m["role"].alias("role"), F.when(k == F.size(messages) - 1, F.array_append(F.coalesce(m["content"], F.array().cast(PARTS)), part(F.lit("text"), hint, F.lit(None)))).otherwise(m["content"]).alias("content")))
 
 
-def swapped_images(content: Column, images: Column) -> Column:
-    """The n-th image part gets the n-th of other images; refused for another number."""
-    place = lambda i: F.size(F.filter(F.slice(content, 1, i + 1), lambda p: p["type"] == "image"))
-    count = F.size(F.filter(content, lambda p: p["type"] == "image"))
-    swap = F.transform(content, lambda p, i: F.when(p["type"] == "image", F.struct(p["type"].alias("type"), p["text"].alias("text"), F.try_element_at(images, place(i)).alias("image"))).otherwise(F.struct(p["type"].alias("type"), p["text"].alias("text"), p["image"].alias("image"))))
-    return F.when(count == F.size(images), swap).otherwise(F.raise_error(F.lit("another number of images")).cast("array<struct<type:string,text:string,image:string>>"))
+def reprompted_messages(messages: Column, prompt: Column, solution: Column, feedback: Column, reprompt: str, solution_template: str, feedback_template: str, feedback_only_without_solution: bool = False) -> Column:
+    """Messages of plain texts whose last one asks anew: by the template reprompt over the prompt, a solution's and a feedback's section; the prompt itself with neither."""
+    with_feedback = feedback.isNotNull() & (solution.isNull() if feedback_only_without_solution else F.lit(True))
+    section = lambda there, template, name, value: F.when(there, F.replace(F.lit(template), F.lit("{" + name + "}"), value)).otherwise("")
+    parts = {"{prompt}": prompt, "{solution}": section(solution.isNotNull(), solution_template, "successful_previous_attempt", solution), "{feedback}": section(with_feedback, feedback_template, "feedback_raw", feedback)}
+    pieces = [parts.get(p, F.lit(p)) for p in re.split(r"(\{prompt\}|\{solution\}|\{feedback\})", reprompt) if p]  # at once: what is put in isn't looked at again
+    asked = F.when(with_feedback | solution.isNotNull(), F.concat(*pieces)).otherwise(prompt)
+    rest = F.slice(messages, F.lit(1), F.greatest(F.size(messages) - 1, F.lit(0)))
+    return F.array_append(rest, F.struct(F.lit("user").alias("role"), asked.alias("content")))
 
 
 def whitespace_tokens(text: Column) -> Column:

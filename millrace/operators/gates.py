@@ -46,8 +46,10 @@ def pinned(df: DataFrame, expected: dict[str, tuple[Column, int | None]]) -> lis
 
 
 def half_size(full: tuple[Column, Column], half: tuple[Column, Column]) -> Column:
-    """Are both sides half of the full ones, give or take a pixel?"""
-    return (F.abs(half[0] * 2 - full[0]) <= 2) & (F.abs(half[1] * 2 - full[1]) <= 2)
+    """Are both sides half of the full ones, rounded down, give or take a pixel?"""
+    from .validity import half_of
+
+    return half_of(half[0], full[0]) & half_of(half[1], full[1])
 
 
 def sampled(df: DataFrame, n: int, seed: int | None = None, row: str = "row_id", count: int | None = None) -> DataFrame:
@@ -61,13 +63,13 @@ def sampled(df: DataFrame, n: int, seed: int | None = None, row: str = "row_id",
 
 
 def shown_generations(df: DataFrame, n: int, seed: int = 42, by: str = "input") -> DataFrame:
-    """n generations for a report: by their input, shuffled by a seeded generator, the first n."""
-    from .records import numbered
+    """n generations for a report, with their place: the first n in the order of their input's hash with the seed (ties by input).
 
-    rows = numbered(df, by, name="_i")
-    order = np.random.RandomState(seed).permutation(rows.count())[:n]
-    ids = df.sparkSession.createDataFrame([(int(i), k) for k, i in enumerate(order)], "_i long, place int")
-    return rows.join(F.broadcast(ids), "_i").drop("_i")
+    The order depends on inputs and seed alone; no task or driver sees more than n rows."""
+    rest = [c for c in df.columns if c != by]
+    first = df.select(F.struct(F.xxhash64(F.lit(seed), by).alias("_h"), by, *rest).alias("_r")).orderBy("_r._h", f"_r.{by}").limit(n)
+    placed = first.agg(F.sort_array(F.collect_list("_r")).alias("_l")).select(F.posexplode("_l").alias("place", "_r"))
+    return placed.select(*[F.col(f"_r.{c}").alias(c) for c in df.columns], "place")
 
 
 def unbalance(df: DataFrame, part: str, length: Column) -> DataFrame:

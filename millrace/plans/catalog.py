@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import accuracy, answers, estimators, grades, media, message_logs, records, reports, rewards, samples, sampling, streams, texts, training, validation  # noqa: E402,F401  (they register their queries)
+from . import accuracy, answers, estimators, grades, media, message_logs, records, reports, rewards, samples, sampling, streams, texts, training, validation, validity  # noqa: E402,F401  (they register their queries)

@@ -35,7 +35,7 @@ def gate_table_report(spark, sf_dir):
     return G.table_report(table(spark, sf_dir, "pages"), {"scheme": F.col("url").startswith("http"), "host": F.contains("url", F.lit("example.com")), "seventh": F.col("page_id") % 7 != 0})
 
 
-@query("gate_half_size", "SELECT page_id, abs((page_id // 2) * 2 - page_id) <= 2 AND abs((page_id // 2 + page_id % 3) * 2 - page_id) <= 2 AS good FROM pages")
+@query("gate_half_size", "SELECT page_id, abs(page_id // 2 - greatest(page_id // 2, 1)) <= 1 AND abs(page_id // 2 + page_id % 3 - greatest(page_id // 2, 1)) <= 1 AS good FROM pages")
 def gate_half_size(spark, sf_dir):
     p = F.col("page_id")
     return table(spark, sf_dir, "pages").select("page_id", G.half_size((p, p), (F.expr("page_id div 2"), F.expr("page_id div 2 + page_id % 3"))).alias("good"))
