@@ -11,7 +11,9 @@ so that no text can open or close a turn and unescaping gives it back.
 
 Rows are dealt by conversation and sorted, and stream through with nothing held but the
 current turn, so that a conversation may have any number of turns.  Null texts and roles
-are empty.  Rows that repeat (conv_id, turn) are turns of their own, in the order above.
+are empty.  Rows that repeat (conv_id, turn) are turns of their own, in the order above; rows without conv_id are one conversation.
+A very long text is one segment, however long.  An empty table gives no segments.  Columns other than conv_id, turn, role and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

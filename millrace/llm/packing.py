@@ -13,7 +13,9 @@
    sequences, every sequence but the last is full, and each document gives its pieces by itself.
 
 Copies have one Hilbert number; doc_id and a row number split them over ranges.  Null and
-empty texts are one id, the end.  Rows that repeat a doc_id are documents of their own.
+empty texts are one id, the end.  Rows that repeat a doc_id are documents of their own; rows without one come last among copies.
+A very long text is encoded by one task, piece by piece, and spans as many sequences as it needs.  Equal rows get pieces of equal
+content; which of them comes first is left open.  An empty table gives no rows.  Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
