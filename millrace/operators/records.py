@@ -13,10 +13,12 @@ ROW = "row_id"
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df with its rows and their partitions fixed: checkpointed where spark.checkpoint.dir is set, else cached."""
+    """df with its rows and their partitions fixed: checkpointed where spark.checkpoint.dir is set; else cached if all tasks run here (tests), an error on a cluster."""
     context = df.sparkSession.sparkContext
     where = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not where and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not where:
             return df.persist()
         context.setCheckpointDir(where)
@@ -216,8 +218,11 @@ def reversed_places(df: DataFrame) -> DataFrame:
 
 
 def list_to_columns(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """One array a key, from an array of maps."""
-    return df.select(ROW, *[F.transform(column, _field(k)).alias(k) for k in keys])
+    """One array a key, from an array of maps; a map that lacks a key, and one that has another, are refused."""
+    other = F.exists(column, lambda m: F.size(F.array_except(F.map_keys(m), F.array(*map(F.lit, keys)))) > 0)
+    lacks = F.exists(column, lambda m: F.size(m) < len(keys))
+    checked = F.when(other | lacks, F.raise_error(F.lit(f"a row's keys aren't {', '.join(keys)}")).cast("boolean")).otherwise(True)
+    return df.where(checked).select(ROW, *[F.transform(column, _field(k)).alias(k) for k in keys])
 
 
 def resolved_path(root: str, entry: Column) -> Column:

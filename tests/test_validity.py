@@ -71,3 +71,43 @@ def test_shown_generations(spark):
     drawn = [int(r.input) for s in range(30) for r in G.shown_generations(df, 10, s).collect()]
     assert 400 < sum(drawn) / len(drawn) < 600
     assert G.shown_generations(df.where("false"), 10).count() == 0 and G.shown_generations(df.limit(3), 10).count() == 3
+
+
+def test_lists_and_runs(spark):
+    from millrace.operators import grading, records
+
+    df = spark.createDataFrame([(0, [{"a": 1, "b": 2}, {"a": 3, "b": 4}]), (1, [])], "row_id long, m array<map<string,int>>")
+    assert [tuple(r) for r in records.list_to_columns(df, "m", ["a", "b"]).orderBy("row_id").collect()] == [(0, [1, 3], [2, 4]), (1, [], [])]
+    for wrong in ({"a": 1}, {"a": 1, "b": 2, "c": 3}, {"a": 1, "c": 2}):
+        with pytest.raises(Exception, match="keys"):
+            records.list_to_columns(spark.createDataFrame([(0, [wrong])], df.schema), "m", ["a", "b"]).collect()
+    a, b = spark.createDataFrame([(1, "x")], "i int, a string"), spark.createDataFrame([(2, "y")], "i int, b string")
+    assert sorted(map(tuple, grading.merged_validation(a, b).collect())) == [(1, "x", None), (2, None, "y")]
+
+
+def test_draws_and_buckets(spark):
+    import numpy as np
+
+
+    df = spark.range(200).select(F.col("id").alias("row_id"))
+    want = set(np.random.default_rng(1).choice(200, size=50, replace=False).tolist())
+    assert {r.row_id for r in G.sampled(df, 50, seed=1).collect()} == want and G.sampled(df, 500, seed=1).count() == 200
+    assert sorted(r.row_id for r in G.sampled(df, 3).collect()) == [0, 1, 2]
+
+
+def test_token_bucket_waits(spark, tmp_path):
+    from millrace.streaming.queues import run_to_table, token_bucket
+
+    rows = [(1, 0, 20.0), (1, 1, 20.0), (1, 100, 5.0), (2, 0, 70.0), (2, 10, 1.0)]
+    spark.createDataFrame(rows, "k long, at long, need double").coalesce(1).write.parquet(f"{tmp_path}/in")
+    run_to_table(token_bucket(spark.readStream.schema("k long, at long, need double").parquet(f"{tmp_path}/in"), "k", "at", "need", 0.5, 30.0), str(tmp_path))
+    want = []
+    for key in (1, 2):
+        level, last = 30.0, None
+        for k, at, need in rows:
+            if k == key:
+                level = min(30.0, level + 0.5 * max(0.0, at - last)) if last is not None else level
+                wait = max(0.0, (min(need, 30.0) - level) / 0.5)
+                level, last = level + 0.5 * wait - need, at + wait
+                want.append((k, at, need, wait))
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == want and {w[3] for w in want} != {0.0}
