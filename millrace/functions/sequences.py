@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .braces import bound
+
 EPS = 1e-8
 #: States of a fold that are gathered at once.
 BLOCK = 64
@@ -40,9 +42,9 @@ def masked_mean(values, mask) -> Column:
 
 def masked_var(values, mask) -> Column:
     """Sample variance of the values under the mask; an error for a mask sum below 2."""
-    mean, n = masked_mean(values, mask), count_mask(mask)
-    squares = F.zip_with(col(values), col(mask), lambda v, m: F.when(m != 0, (v - mean) * (v - mean)).otherwise(F.lit(0.0)))
-    raw = total(squares) / (n + EPS)
+    n = count_mask(mask)
+    squares = lambda mean: F.zip_with(col(values), col(mask), lambda v, m: F.when(m != 0, (v - mean) * (v - mean)).otherwise(F.lit(0.0)))
+    raw = bound(masked_mean(values, mask), lambda mean: total(squares(mean))) / (n + EPS)
     return F.when(n < 2, F.raise_error(F.lit("the mask must cover two values at least")).cast("double")).otherwise(raw * n / (n - 1))
 
 
@@ -51,13 +53,12 @@ def clip(x: Column, low, high) -> Column:
 
 
 def log_sum_exp(x) -> Column:
-    top = F.array_max(col(x))
-    return top + F.log(F.aggregate(col(x), F.lit(0.0), lambda a, v: a + F.exp(v - top)))
+    above = lambda x, top: top + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top)))
+    return bound(col(x), lambda x: bound(F.array_max(x), lambda top: above(x, top)))
 
 
 def log_softmax(x) -> Column:
-    lse = log_sum_exp(x)
-    return F.transform(col(x), lambda v: v - lse)
+    return bound(col(x), lambda x: bound(log_sum_exp(x), lambda lse: F.transform(x, lambda v: v - lse)))
 
 
 def softmax(x) -> Column:
@@ -65,8 +66,8 @@ def softmax(x) -> Column:
 
 
 def entropy(logits) -> Column:
-    lse = log_sum_exp(logits)
-    return lse - F.aggregate(col(logits), F.lit(0.0), lambda a, v: a + F.exp(v - lse) * v)
+    mean = lambda x, lse: F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - lse) * v)
+    return bound(col(logits), lambda x: bound(log_sum_exp(x), lambda lse: lse - mean(x, lse)))
 
 
 def sum_pi_squared(logits) -> Column:
@@ -219,8 +220,7 @@ def bias_corrected_kl(student, teacher) -> Column:
 
 
 def centred(x) -> Column:
-    mean = total(x) / F.size(col(x))
-    return F.transform(col(x), lambda v: v - mean)
+    return bound(col(x), lambda x: bound(total(x) / F.size(x), lambda mean: F.transform(x, lambda v: v - mean)))
 
 
 def add_tail(log_probs) -> Column:

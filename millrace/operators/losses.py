@@ -259,8 +259,8 @@ def cross_world_loss(df: DataFrame, tau: float, lam: float, is_clip: float | Non
     z = F.arrays_zip(*[F.col(c).alias(k) for k, c in names.items() if c in df.columns])
 
     def only(x, keep):
-        pairs = F.filter(F.arrays_zip(x.alias("x"), keep.alias("k")), lambda p: p["k"])
-        return F.transform(pairs, lambda p: p["x"])
+        """The slots that are kept, in one pass; a slot without a log-probability is in no support."""
+        return F.array_compact(F.zip_with(x, keep, lambda v, k: F.when(k, v)))
 
     def token(t):
         a = S.bias_corrected_kl(only(t["sa"], t["ma"]), only(t["ta"], t["ma"]))
