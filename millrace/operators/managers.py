@@ -63,7 +63,7 @@ def batch(df: DataFrame, function: Callable[[pd.DataFrame], pd.Series], mask: st
 def prime(df: DataFrame, function: Callable[[pd.DataFrame], pd.Series], seconds: float | None = None, mask: str = "mask") -> DataFrame:
     """As batch, but a row that the function fails on scores 0; with a time limit rows are scored one by one, and one that takes longer scores 0."""
     if seconds is None:
-        rows = score_with(df, function)
+        rows = score_with(df, function, given="given_score")
     else:
         rows = score_calls(df, lambda record: float(function(pd.DataFrame([record])).iloc[0]), seconds=seconds).drop("status", "problem")
     return rows.withColumn("rewards", S.at_last_valid(mask, F.col("score")))

@@ -84,10 +84,10 @@ def score(df: DataFrame, routes: dict[str, str], source: str = "data_source", an
     return df.withColumn("result", result)
 
 
-def score_with(df: DataFrame, function: Callable[[pd.DataFrame], pd.Series], name: str = "score", default: float = 0.0, given: str = "given_score") -> DataFrame:
+def score_with(df: DataFrame, function: Callable[[pd.DataFrame], pd.Series], name: str = "score", default: float = 0.0, given: str | None = None) -> DataFrame:
     """df with the score of a user's function on frames; a frame that it fails on is tried row by row, and failing rows get the default.
 
-    Rows with a given score keep it; the function doesn't see them."""
+    Rows that have a score in the column `given`, if one is named, keep it; the function doesn't see them."""
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
 
     def tried(pdf):
@@ -109,7 +109,7 @@ def score_with(df: DataFrame, function: Callable[[pd.DataFrame], pd.Series], nam
     return df.mapInPandas(each, f"{kinds}, `{name}` double")
 
 
-def around_given(pdf: pd.DataFrame, scores: Callable[[pd.DataFrame], object], given: str) -> pd.Series:
+def around_given(pdf: pd.DataFrame, scores: Callable[[pd.DataFrame], object], given: str | None) -> pd.Series:
     """Given scores where there are any; of the other rows alone what `scores` says."""
     out = pdf[given].astype("float64") if given in pdf else pd.Series(float("nan"), index=pdf.index)
     rest = out.isna()
