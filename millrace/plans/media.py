@@ -99,10 +99,10 @@ def files_answers_resumed(spark, sf_dir):
     todo = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
     bad = F.col("model_answer").startswith("[API_ERROR]")
     failed = F.when(F.col("doc_id") % 7 == 0, "[API_ERROR] busy").otherwise(F.col("text"))
-    todo.where("doc_id % 2 = 0").select("doc_id", failed.alias("model_answer"), F.lit(1).cast("long").alias("at")).write.mode("append").json(path)
+    files.write_lines(todo.where("doc_id % 2 = 0").select("doc_id", failed.alias("model_answer"), F.lit(1).cast("long").alias("at")), path, compression="gzip")
     rest = files.left_to_do(todo, path, "doc_id", ~bad)
-    rest.select("doc_id", F.col("text").alias("model_answer"), F.lit(2).cast("long").alias("at")).write.mode("append").json(path)
-    files.compact_answers(spark, path, "doc_id", "doc_id long, model_answer string, at long", bad)
+    files.write_lines(rest.select("doc_id", F.col("text").alias("model_answer"), F.lit(2).cast("long").alias("at")), path, compression="gzip")
+    files.compact_answers(spark, path, "doc_id", "doc_id long, model_answer string, at long", bad, "gzip")
     out = spark.read.schema("doc_id long, model_answer string, at long").json(path)
     return out.select("doc_id", "at", F.length("model_answer").cast("long").alias("chars"), F.md5("model_answer").alias("digest"))
 
@@ -112,7 +112,7 @@ def files_checked_formats(spark, sf_dir):
     """All documents written as Parquet and as JSON lines in the shared folder and read again as rows, each by its reader."""
     folder, docs = shared_folder(spark), table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     files.write_table(docs, f"{folder}/docs.parquet")
-    files.write_lines(docs, f"{folder}/docs.jsonl")
+    files.write_lines(docs, f"{folder}/docs.jsonl", compression="gzip")
     out = lambda df, name: df.select("doc_id", "lang", F.md5(F.coalesce("text", F.lit("-"))).alias("digest"), F.lit(name).alias("format"))
     return out(files.load_rows(spark, f"{folder}/docs.parquet"), "parquet").union(out(files.load_rows(spark, f"{folder}/docs.jsonl", docs.schema), "json"))
 

@@ -73,12 +73,12 @@ def left_to_do(todo: DataFrame, path: str, key: str, good: Column | None = None)
     return todo.join((done.where(good) if good is not None else done).select(key).distinct(), key, "left_anti")
 
 
-def compact_answers(spark: SparkSession, path: str, key: str, columns: str, bad: Column) -> None:
+def compact_answers(spark: SparkSession, path: str, key: str, columns: str, bad: Column, compression: str = "none") -> None:
     """Rewrites the JSON lines of answers, appended in any number of runs, to one record a key: a good one before a bad one, then the last by `at`."""
     from ..operators.records import keep_last
 
     rows = spark.read.schema(columns).json(path).withColumn("_order", F.struct((~bad).alias("good"), F.col("at")))
-    replace_table(keep_last(rows, [key], "_order").drop("_order"), path, lambda d, p: d.write.json(p))
+    replace_table(keep_last(rows, [key], "_order").drop("_order"), path, lambda d, p: d.write.option("compression", compression).json(p))
 
 
 def refuse_empty(df: DataFrame, what: str) -> DataFrame:
@@ -186,8 +186,8 @@ def write_table(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("compression", "zstd").parquet(path)
 
 
-def write_lines(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "append") -> None:
-    writer = df.write.mode(mode)
+def write_lines(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "append", compression: str = "none") -> None:
+    writer = df.write.mode(mode).option("compression", compression)
     (writer.partitionBy(*by) if by else writer).json(path)
 
 
