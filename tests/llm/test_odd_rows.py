@@ -106,3 +106,19 @@ def test_long_words_and_numpy_limits():
     starts, ends, hashes, first = words_of(buf, off, space_split())
     assert (ends - starts).tolist() == [100_000, 1] and first.tolist() == [0, 0, 0, 1, 2] and len(np.unique(hashes)) == 2
     assert len(rolling(hashes, 3)) == 0
+
+
+def test_embeddings_and_urls(spark):
+    from millrace.llm.embedding_dedup import embedding_dedup
+    from millrace.llm.url_filters import rule_table, url_filters
+
+    names = ["cls", "code", "key", "block", "a", "b", "host", "path", "rule", "verdict", "h", "p", "digest"]
+    more = ", ".join(f"`{c}` string" for c in names)
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (None, [1.0, 0.001], 1), (3, None, 1), (4, [None, 1.0], 1), (5, [1.0, 0.0], None), (6, [0.0, 0.0], 1), (7, [float("nan"), 1.0], 1)]
+    df = spark.createDataFrame([(*r, *names) for r in rows], f"vec_id long, embedding array<double>, label int, {more}")
+    got = sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in embedding_dedup(df).collect())
+    assert got == [(-1, 2, 1, False), (1, 2, 1, True), (2, 0, 2, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True)]
+    urls = [(1, None), (None, "http://a.com/en/x"), (2, ""), (2, "HTTP://A.COM/en/" + "y" * 50_000), (3, "http://a.com/en/x")]
+    pages = spark.createDataFrame([(*r, *names) for r in urls], f"page_id long, url string, {more}")
+    got = sorted(((r.page_id or -1, r.host, len(r.path), r.verdict) for r in url_filters(pages, rule_table(spark)).collect()), key=str)
+    assert got == sorted([(1, "", 0, "allow"), (-1, "a.com", 5, "block"), (2, "", 0, "allow"), (2, "a.com", 50_004, "block"), (3, "a.com", 5, "block")], key=str)
