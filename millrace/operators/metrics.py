@@ -79,7 +79,7 @@ def mean_of_means(df: DataFrame, row: str, source: str, score: str) -> DataFrame
 
 def sizes_up_to(n: Column) -> Column:
     """2, 4, 8, ... below n, then n."""
-    powers = F.filter(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.pow(F.lit(2.0), k).cast("int")), lambda k: k < n)
+    powers = F.filter(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: F.pow(F.lit(2.0), k).cast("int")), lambda k: k < n)
     return F.array_union(powers, F.array(n.cast("int")))
 
 
@@ -97,7 +97,7 @@ def bootstrap(df: DataFrame, by: list[str], order: str, value: str, times: int =
 
         v = pdf.sort_values("_order")["_value"].to_numpy()
         n, out = len(v), []
-        for k in [*(2**i for i in range(1, 20) if 2**i < n), n] if n > 1 else []:
+        for k in [*(2**i for i in range(1, 31) if 2**i < n), n] if n > 1 else []:
             picked = v[draws(n, k, times, seed)]
             for name, x in (("best", picked.max(axis=1)), ("worst", picked.min(axis=1))):
                 out.append((*pdf[by].iloc[0], f"{name}@{k}", float(x.mean()), float(x.std())))

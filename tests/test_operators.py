@@ -186,6 +186,12 @@ def test_bootstrap_is_near_the_expectation(spark):
     assert got["best@4"] == pytest.approx(M.expected_best(df, ["g"], "v", 4).first().expected_best, abs=0.15)
 
 
+def test_sizes_double_up_to_any_group(spark):
+    sizes = lambda n: spark.range(1).select(M.sizes_up_to(F.lit(n).cast("long")).alias("s")).first().s
+    assert sizes(7443)[-5:] == [512, 1024, 2048, 4096, 7443]
+    assert sizes(3_000_000)[-3:] == [2**20, 2**21, 3_000_000] and sizes(8) == [2, 4, 8] and sizes(1) == [1]
+
+
 def test_extractors(spark):
     value = lambda c: spark.range(1).select(c.alias("x")).first().x
     lit = lambda c, s: value(c(F.lit(s)))
