@@ -17,3 +17,10 @@ def test_plain_latex_and_grade_name_their_text_once(spark):
     odd = ["x=1/2", "xy=.5", "xyz=1", "=a", "a=b=c", "\\frac12", "\\dfrac{1}2", ".5", "0.5", "1/2", "\\sqrt3 \\text{ cm}", "", None, "é=1", "=="]
     got = [r.f for r in spark.createDataFrame([(s,) for s in odd], "s string").coalesce(1).select(X.plain_latex("s").alias("f")).collect()]
     assert got == ["\\frac{1}{2}", ".5", "xyz=1", "a", "a=b=c", "\\frac{1}{2}", "\\frac{1}2", "\\frac{1}{2}", "\\frac{1}{2}", "\\frac{1}{2}", "\\sqrt{3}", "", "", "1", "=="]
+
+
+def test_yes_or_no_names_its_text_once(spark):
+    assert times("said", T.yes_no("said")) == 1 and times("said", T.two_choice("said")) == 1
+    said = ["**Yes**", "Answer: no.", "ANSWER:: **yes", "it is yes.", "İ answer", "maybe no**.", "", None]
+    got = [r.f for r in spark.createDataFrame([(s,) for s in said], "s string").coalesce(1).select(T.yes_no("s").alias("f")).collect()]
+    assert got == ["yes", "no", "yes", "yes", "İ answer", "no", "", ""]
