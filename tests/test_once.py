@@ -24,3 +24,11 @@ def test_yes_or_no_names_its_text_once(spark):
     said = ["**Yes**", "Answer: no.", "ANSWER:: **yes", "it is yes.", "İ answer", "maybe no**.", "", None]
     got = [r.f for r in spark.createDataFrame([(s,) for s in said], "s string").coalesce(1).select(T.yes_no("s").alias("f")).collect()]
     assert got == ["yes", "no", "yes", "yes", "İ answer", "no", "", ""]
+
+
+def test_answer_grade_names_texts_and_entries_once(spark):
+    grade = A.answer_grade("said", F.lit("0.5"))
+    assert times("said", grade) == 1 and times("[0-9]+.?/0*", grade) == 2  # an entry and its gold entry
+    rows = [("(1,000,2)", "(1000.0,2)"), ("(1/2,3)", "(1/2,3)"), ("2/4", "1/2"), ("1/2", "1/2"), (None, ""), ("", None), ("1,234,567", "1234567"), ("12 meters", "12")]
+    got = [r.g for r in spark.createDataFrame(rows, "a string, b string").coalesce(1).select(A.answer_grade("a", F.col("b")).alias("g")).collect()]
+    assert got == ["right", "right", "wrong", "right", "wrong", "right", "right", "right"]
