@@ -32,3 +32,7 @@ def test_answer_grade_names_texts_and_entries_once(spark):
     rows = [("(1,000,2)", "(1000.0,2)"), ("(1/2,3)", "(1/2,3)"), ("2/4", "1/2"), ("1/2", "1/2"), (None, ""), ("", None), ("1,234,567", "1234567"), ("12 meters", "12")]
     got = [r.g for r in spark.createDataFrame(rows, "a string, b string").coalesce(1).select(A.answer_grade("a", F.col("b")).alias("g")).collect()]
     assert got == ["right", "right", "wrong", "right", "wrong", "right", "right", "right"]
+
+
+def test_structure_grade_reads_each_structure_once(spark):
+    assert times("matrix", A.structure_grade("said", F.lit("0.5"))) <= 8  # two signs of a matrix, each looked for and read, in both answers
