@@ -36,3 +36,10 @@ def test_answer_grade_names_texts_and_entries_once(spark):
 
 def test_structure_grade_reads_each_structure_once(spark):
     assert times("matrix", A.structure_grade("said", F.lit("0.5"))) <= 8  # two signs of a matrix, each looked for and read, in both answers
+
+
+def test_markers_are_looked_for_before_a_text_is_turned_round(spark):
+    assert times("contains", A.marked_answer("said")) >= 6  # before: three, of boxes alone
+    said = "so the ANSWER is 5 Is The Answer. is x"
+    got = spark.createDataFrame([(said,)], "s string").select(A.marked_answer("s").alias("m")).first().m
+    assert (got.answer, got.steps) == ("5", ["answer is", "is the answer"])
