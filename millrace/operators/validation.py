@@ -28,14 +28,13 @@ def means(df: DataFrame, source: str, uid: str, values: list[str]) -> DataFrame:
 
 def majority_values(votes: np.ndarray, values: np.ndarray, picked: np.ndarray) -> np.ndarray:
     """For each row of picked places: the first value of the most frequent vote, ties to the vote picked first."""
-    out = np.empty(len(picked))
-    for i, row in enumerate(picked):
-        counts: dict = {}
-        for place in row:
-            counts[votes[place]] = counts.get(votes[place], 0) + 1
-        best = max(counts, key=counts.get)  # a dict keeps the order in which votes were seen
-        out[i] = next(values[place] for place in row if votes[place] == best)
-    return out
+    names: dict = {}
+    codes = np.array([names.setdefault(v, len(names)) for v in votes])[picked]
+    in_row = codes + np.arange(len(picked))[:, None] * len(names)
+    _, at, times = np.unique(in_row, return_inverse=True, return_counts=True)
+    counts = times[at].reshape(picked.shape)  # how often each place's vote was picked in its row
+    first = counts.argmax(axis=1)  # the first of the largest
+    return values[picked[np.arange(len(picked)), first]]
 
 
 def resampled(df: DataFrame, source: str, uid: str, order: str, values: list[str], vote: str | None = None, times: int = 1000, seed: int = 42) -> DataFrame:
@@ -45,20 +44,27 @@ def resampled(df: DataFrame, source: str, uid: str, order: str, values: list[str
     votes = F.col(vote).cast("string") if vote else F.lit(None).cast("string")
     rows = long_form(df.withColumn("_vote", votes).withColumn("_order", F.col(order)), [source, uid, "_vote", "_order"], values)
     kinds = dict(df.dtypes)
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_order", kind="stable")
-        v, said, n, out = pdf["value"].to_numpy(), pdf["_vote"].to_numpy(), len(pdf), []
-        for k in [*(2**i for i in range(1, 31) if 2**i < n), n] if n > 1 else []:
-            picked = draws(n, k, times, seed)
-            found = {"best": v[picked].max(axis=1), "worst": v[picked].min(axis=1)}
-            if vote:
-                found["maj"] = majority_values(said, v, picked)
-            for name, x in found.items():
-                out += [(f"{name}@{k}/mean", float(x.mean())), (f"{name}@{k}/std", float(x.std()))]
-        return pd.DataFrame([(pdf[source].iloc[0], pdf["variable"].iloc[0], m, x) for m, x in out], columns=[source, "variable", "metric", "value"])
-
-    per_uid = rows.groupBy(source, uid, "variable").applyInPandas(each, f"`{source}` {kinds[source]}, variable string, metric string, value double")
+    # one row a group, its values in order: groups of one size share their draws, and a batch holds many groups
+    one = F.sort_array(F.collect_list(F.struct(F.col("_order").isNull().alias("_z"), "_order", "value", "_vote")))
+    lists = rows.groupBy(source, uid, "variable").agg(one.alias("_l")).select(source, "variable", F.col("_l.value").alias("v"), F.col("_l._vote").alias("said")).where("size(v) > 1")
+
+    def each(batches):
+        drawn = {}  # of the group size that came last: sizes repeat, and large draws aren't kept
+        for pdf in batches:
+            out = []
+            for place, n in sorted(enumerate(map(len, pdf["v"])), key=lambda x: x[1]):
+                if n not in drawn:
+                    drawn = {n: [(k, draws(n, k, times, seed)) for k in [*(2**i for i in range(1, 31) if 2**i < n), n]]}
+                v, said = np.asarray(pdf["v"].iloc[place], dtype=float), pdf["said"].iloc[place]
+                for k, picked in drawn[n]:
+                    found = {"best": v[picked].max(axis=1), "worst": v[picked].min(axis=1)}
+                    if vote:
+                        found["maj"] = majority_values(said, v, picked)
+                    for name, x in found.items():
+                        out += [(pdf[source].iloc[place], pdf["variable"].iloc[place], f"{name}@{k}/mean", float(x.mean())), (pdf[source].iloc[place], pdf["variable"].iloc[place], f"{name}@{k}/std", float(x.std()))]
+            yield pd.DataFrame(out, columns=[source, "variable", "metric", "value"])
+
+    per_uid = lists.mapInPandas(each, f"`{source}` {kinds[source]}, variable string, metric string, value double")
     return per_uid.groupBy(source, "variable", "metric").agg(F.avg("value").alias("value"))
 
 

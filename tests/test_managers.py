@@ -32,6 +32,14 @@ def test_managers(spark):
     assert G.rewarded(rows.where("false"), "prime", function=fails).count() == 0
 
 
+def test_resampled_takes_many_groups_at_once(spark):
+    """Groups share their size's draws in one batch; a call of Python for each group took longer than its work."""
+    df = spark.createDataFrame([("s", g, o, float(g + o), "v") for g in range(30) for o in range(1 + g % 3)], "src string, uid long, o long, x double, vote string")
+    out = V.resampled(df, "src", "uid", "o", ["x"], "vote", times=20)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    assert {r.metric.split("/")[0] for r in out.collect()} == {f"{name}@{k}" for name in ("best", "worst", "maj") for k in (2, 3)}
+
+
 def test_resampled_is_what_plain_python_gives(spark):
     votes, values = ["b", "a", "a", "b", "c"], [0.0, 1.0, 2.0, 3.0, 9.0]
     df = spark.createDataFrame([("s", 1, i, v, x) for i, (v, x) in enumerate(zip(votes, values))] + [("s", 2, 9, "z", 4.0)], "src string, uid long, o long, vote string, x double")
