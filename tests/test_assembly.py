@@ -105,6 +105,14 @@ def test_versions_meet_samples(spark, tmp_path, cuts):
     assert got == sorted(plain(events), key=str)
 
 
+def test_pools_share_states(spark, tmp_path):
+    """Groups of the state are parts of pools, not pools: a call of Python for each pool and run took longer than its events."""
+    one = spark.readStream.schema("pool long, at long, kind string").parquet(f"{tmp_path}")
+    two = spark.readStream.schema("pool long, at long, version long").parquet(f"{tmp_path}")
+    out = version_counts(one, two)
+    assert "[part#" in next(line for line in out._jdf.queryExecution().analyzed().toString().splitlines() if "WithState" in line)
+
+
 def test_replacement_is_all_or_nothing(spark, tmp_path):
     path = f"{tmp_path}/t"
     one = spark.range(5)
