@@ -122,29 +122,33 @@ def position_ids(mask) -> Column:
     return F.transform(running_sum(mask), lambda v: F.greatest(v - 1, F.lit(0)))
 
 
-def running(x, step, start: Column, out=lambda s: s) -> Column:
+def running(x, step, start: Column, out=None) -> Column:
     """Every state of a fold from the left.
 
-    Arrays are copied whenever they grow, so states are gathered in blocks: of n values, n * BLOCK / 2 are copied
-    and not the square of n."""
-    x = col(x)
-    last = F.floor((F.size(x) - 1) / BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: F.slice(x, b * BLOCK + 1, BLOCK))
+    Arrays are copied whenever they grow, so states of more than BLOCK values are gathered in blocks: of n values, n * BLOCK / 2
+    are copied and not the square of n.  What is named twice is bound, as interpreted lambdas work it out each time."""
+    add = lambda a, v: F.array_append(a, step(F.element_at(a, -1), v))
+    behind = lambda states: F.slice(states, F.lit(2), F.size(states) - 1)
     none = F.slice(F.array(F.array(start)), 1, 0)
 
     def over(acc, block):
-        states = F.aggregate(block, F.array(acc["state"]), lambda a, v: F.concat(a, F.array(step(F.element_at(a, -1), v))))
-        return F.struct(F.element_at(states, -1).alias("state"), F.concat(acc["out"], F.array(F.slice(states, 2, F.greatest(F.size(states) - 1, F.lit(0))))).alias("out"))
+        put = lambda states: F.struct(F.element_at(states, -1).alias("state"), F.array_append(acc["out"], behind(states)).alias("out"))
+        return bound(F.aggregate(block, F.array(acc["state"]), add), put)
 
-    states = F.aggregate(blocks, F.struct(start.alias("state"), none.alias("out")), over, lambda acc: F.flatten(acc["out"]))
-    return F.transform(states, out)
+    def states(x):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: F.slice(x, b * BLOCK + 1, F.lit(BLOCK)))
+        long = F.aggregate(blocks, F.struct(start.alias("state"), none.alias("out")), over, lambda acc: F.flatten(acc["out"]))
+        return F.when(F.size(x) > BLOCK, long).otherwise(bound(F.aggregate(x, F.array(start), add), behind))
+
+    every = bound(col(x), states)
+    return every if out is None else F.transform(every, out)
 
 
 def running_sum(x) -> Column:
     return running(F.transform(col(x), lambda v: v.cast("double")), lambda s, v: s + v, F.lit(0.0))
 
 
-def reverse_running(x, step, start: Column, out=lambda s: s) -> Column:
+def reverse_running(x, step, start: Column, out=None) -> Column:
     """Every state of a fold from the right, at its place."""
     return F.reverse(running(F.reverse(col(x)), step, start, out))
 

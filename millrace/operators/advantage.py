@@ -147,45 +147,56 @@ def gpg(df: DataFrame, f_norm: float = 1.0) -> DataFrame:
 
 def optimal_baseline(df: DataFrame, compacted: bool, zero_tail: bool, epsilon: float) -> DataFrame:
     """Per group and position, the baseline sum(R W) / (sum(W) + epsilon): W is the running sum of
-    1 - 2 pi + sum_pi_squared under the mask, R the reward to go.  compacted: positions count masked tokens alone."""
-    w = group()
+    1 - 2 pi + sum_pi_squared under the mask, R the reward to go.  compacted: positions count masked tokens alone.
+
+    Tokens are summed by group and position before they meet the rows again; null groups are one group.  The join is
+    null-safe, so that no filter on uid tells the plans below its sides apart and they share their exchanges."""
     weight = F.zip_with(F.transform("old_log_probs", lambda x: 1 - 2 * F.exp(x)), "sum_pi_squared", lambda a, b: a + b)
     if "is_weights" in df.columns:
         weight = F.zip_with(weight, "is_weights", lambda a, b: a * b * b)
-    rows = df.withColumn("returns", S.reward_to_go("rewards", "mask")).withColumn("_w", S.running_sum(S.masked(weight, "mask"))).withColumn("_len", S.count_mask("mask"))
+    masked = lambda v, m: F.when(m != 0, v).otherwise(F.lit(0.0)) * m
+    path = F.arrays_zip(F.col("rewards").alias("r"), F.col("mask").alias("m"), weight.alias("w"))
     if compacted:
-        live = rows.where("_len > 0")
-        counts = live.groupBy("uid").agg(F.count("*").alias("_n"), F.sort_array(F.collect_list("_len"), asc=False)[0].alias("_l1"), F.try_element_at(F.sort_array(F.collect_list("_len"), asc=False), F.lit(2)).alias("_l2"))
-        rows = rows.join(counts, "uid", "left")
-    else:
+        path = F.filter(path, lambda t: t["m"] != 0)
+    to_go = S.reverse_running("_path", lambda s, t: s + masked(t["r"], t["m"]), F.lit(0.0))
+    weights = S.running("_path", lambda s, t: s + masked(t["w"], t["m"]), F.lit(0.0))
+    triple = F.arrays_zip(to_go.alias("r"), weights.alias("w"), F.transform("_path", lambda t: F.lit(1) if compacted else t["m"]).alias("m"))
+    # a row without tokens counts as one of its group unless compacted: it stands at no position
+    explode = F.posexplode if compacted else F.posexplode_outer
+    tokens = df.select("uid", path.alias("_path")).select("uid", explode(triple).alias("pos", "t"))
+    w = F.col("t.w") * F.col("t.m")
+    base = tokens.groupBy("uid", "pos").agg((F.sum(F.col("t.r") * w) / (F.sum(w) + epsilon)).alias("b"), F.count("*").alias("c"))
+    if compacted and zero_tail:  # beyond the second longest row's end the longest one is alone
+        base = base.withColumn("b", F.when(F.col("c") < 2, 0.0).otherwise(F.col("b")))
+    at = F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "b"))))
+    n = F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("c")))
+    base = base.groupBy(F.col("uid").alias("_uid")).agg(n.alias("_n"), F.transform(at, lambda t: t["b"]).alias("_base"))
+    tail = lambda place: F.lit(False)
+    rows = df
+    if zero_tail and not compacted:
+        w = group()
         ordered = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("_len"), "row_id"))
-        rows = rows.withColumn("_k", ordered).withColumn("_n", F.count("*").over(w)).withColumn("_l1", F.max("_len").over(w)).withColumn("_l2", F.max(F.when(F.col("_k") == 2, F.col("_len"))).over(w)).drop("_k")
-    r, x, m = ("returns", "_w", "mask")
-    if compacted:
-        r, x = S.compact("returns", "mask"), S.compact("_w", "mask")
-        triple = F.arrays_zip(r.alias("r"), x.alias("w"))
-        tokens = rows.select("uid", F.posexplode(triple).alias("pos", "t")).select("uid", "pos", F.col("t.r").alias("r"), F.col("t.w").alias("w"), F.lit(1).alias("m"))
-    else:
-        triple = F.arrays_zip(F.col(r).alias("r"), F.col(x).alias("w"), F.col(m).alias("m"))
-        tokens = rows.select("uid", F.posexplode(triple).alias("pos", "t")).select("uid", "pos", F.col("t.r").alias("r"), F.col("t.w").alias("w"), F.col("t.m").alias("m"))
-    base = tokens.groupBy("uid", "pos").agg((F.sum(F.col("r") * F.col("w") * F.col("m")) / (F.sum(F.col("w") * F.col("m")) + epsilon)).alias("b"))
-    base = base.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("pos", "b"))).alias("_base"))
-    rows = rows.join(base, "uid", "left")
-    alone = F.coalesce(F.col("_n"), F.lit(0)) < 2
-    tail = (F.col("_len") == F.col("_l1")) & (F.col("_l1") > F.col("_l2")) if zero_tail else F.lit(False)
+        rows = rows.withColumn("_len", S.count_mask("mask")).withColumn("_k", ordered)
+        rows = rows.withColumn("_l1", F.max("_len").over(w)).withColumn("_l2", F.max(F.when(F.col("_k") == 2, F.col("_len"))).over(w))
+        tail = lambda place: (F.col("_len") == F.col("_l1")) & (F.col("_l1") > F.col("_l2")) & (place >= F.col("_l2"))
+    rows = rows.join(base, F.col("uid").eqNullSafe(F.col("_uid")), "left")
+    alone = F.coalesce("_n", F.lit(0)) < 2
 
     def less(value, mask_, place):
-        b = F.when(alone | (tail & (place >= F.col("_l2"))), 0.0).otherwise(F.coalesce(F.try_element_at("_base", place), F.lit(0.0)))
+        b = F.when(alone | tail(place), 0.0).otherwise(F.coalesce(F.get("_base", place), F.lit(0.0)))
         return (value - b) * mask_
 
     if compacted:
-        place = F.transform(S.running_sum("mask"), lambda v: v.cast("int") - 1)
-        z = F.arrays_zip(F.col("returns").alias("r"), F.col("mask").alias("m"), place.alias("p"))
-        adv = F.transform(z, lambda t: F.when(t["m"] != 0, less(t["r"], t["m"], t["p"])).otherwise(0.0))
+        # from the right: the reward to go, and the place among the masked tokens
+        end = F.struct(F.lit(0.0).alias("r"), F.size(F.filter("mask", lambda m: m != 0)).alias("at"))
+        step = lambda s, t: F.struct((s["r"] + masked(t["r"], t["m"])).alias("r"), (s["at"] - F.when(t["m"] != 0, 1).otherwise(0)).alias("at"))
+        pairs = F.arrays_zip(F.col("rewards").alias("r"), F.col("mask").alias("m"))
+        rows = rows.withColumn("_path", S.reverse_running(pairs, step, end)).withColumn("returns", F.transform("_path", lambda s: s["r"]))
+        adv = F.zip_with("_path", "mask", lambda s, m: F.when(m != 0, less(s["r"], m, s["at"])).otherwise(0.0))
     else:
-        z = F.arrays_zip(F.col("returns").alias("r"), F.col("mask").alias("m"))
-        adv = F.transform(z, lambda t, i: less(t["r"], t["m"], i))
-    return rows.withColumn("advantages", adv).drop("_w", "_len", "_n", "_l1", "_l2", "_base")
+        rows = rows.withColumn("returns", S.reward_to_go("rewards", "mask"))
+        adv = F.transform(F.arrays_zip(F.col("returns").alias("r"), F.col("mask").alias("m")), lambda t, i: less(t["r"], t["m"], i))
+    return rows.withColumn("advantages", adv).drop("_path", "_len", "_k", "_l1", "_l2", "_n", "_uid", "_base")
 
 
 @ESTIMATORS.register("optimal_token_baseline")
